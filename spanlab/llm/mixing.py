@@ -32,7 +32,7 @@ TOPICS = {
     "credential": ("password", "token =", "akia", "secret"),
     "contact": ("@mail", "+1 (", "phone", "http"),
 }
-PARAMS = {"alpha": 0.7, "fraction": 0.8, "iterations": 30, "max_local_cells": 1_000_000}
+PARAMS = {"alpha": 0.9, "fraction": 0.8, "iterations": 30, "max_local_cells": 1_000_000}
 DIMS = ("source", "lang", "topic")
 
 
@@ -165,14 +165,15 @@ x0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens,
         sql += f""",
 want_{d} AS MATERIALIZED (SELECT {d} AS k, pow(s, {alpha}) / sum(pow(s, {alpha})) OVER () * total AS want FROM
   (SELECT {d}, sum(tokens) / any_value(total) AS s, any_value(total) AS total FROM (SELECT *, sum(tokens) OVER () AS total FROM x0) GROUP BY {d}))"""
-    k = 0
-    for _ in range(iterations):
-        for d in DIMS:
-            sql += f""",
-x{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, x * want / sum(x) OVER (PARTITION BY {d}) AS x FROM x{k} JOIN want_{d} ON {d} IS NOT DISTINCT FROM k)"""
-            k += 1
+    joins = " ".join(f"JOIN want_{d} ON {d} IS NOT DISTINCT FROM want_{d}.k" for d in DIMS)
+    part = ", ".join(f"CASE WHEN n % 3 = {k} THEN {d} END" for k, d in enumerate(DIMS))
+    want = f"CASE n % 3 WHEN 0 THEN want_{DIMS[0]} WHEN 1 THEN want_{DIMS[1]} ELSE want_{DIMS[2]} END"
+    sql = sql.replace("WITH low", "WITH RECURSIVE low", 1) + f""",
+raked AS (SELECT 0 AS n, source, lang, topic, tokens, x, {", ".join(f"want_{d}.want AS want_{d}" for d in DIMS)} FROM x0 {joins}
+  UNION ALL SELECT n + 1, source, lang, topic, tokens, x * {want} / sum(x) OVER (PARTITION BY {part}), {", ".join(f"want_{d}" for d in DIMS)}
+  FROM raked WHERE n < {3 * iterations})"""
     return sql + f""",
-r AS (SELECT *, x / tokens AS g, least({fraction}, 1 / max(x / tokens) OVER ()) AS f FROM x{k})
+r AS (SELECT *, x / tokens AS g, least({fraction}, 1 / max(x / tokens) OVER ()) AS f FROM raked WHERE n = {3 * iterations})
 SELECT s.doc_id, s.source, s.lang, s.topic, s.n_tokens, round(g, 6) AS ratio, round(g * f, 6) AS rate FROM slim s
 JOIN r ON s.source IS NOT DISTINCT FROM r.source AND s.lang IS NOT DISTINCT FROM r.lang AND s.topic = r.topic
 WHERE ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < g * f"""

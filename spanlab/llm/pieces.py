@@ -64,26 +64,39 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
         ends[at] = v
     size = 1 << max(10, (len(children) * 2 + 512).bit_length())
     base, check, value = (np.full(size, x, np.int32) for x in (0, -1, -1))
-    used = bytearray(size)
-    used[0] = 1
-    check[0] = 0
-    low, todo = 1, [(0, 0)]
-    while todo:
-        node, state = todo.pop()
-        value[state] = ends[node]
-        cs = sorted(children[node])
-        if not cs:
-            continue
+    used = np.zeros(size + 512, bool)
+    used[:257] = True  # so that no base is negative
+    check[0], value[0] = 0, ends[0]
+    place, low = {0: 0}, 257
+    # nodes with many children first: the rest then fill the gaps
+    order = sorted((k for k in range(len(children)) if children[k]), key=lambda k: -len(children[k]))
+    bases = np.zeros(len(children), np.int64)
+    for node in order:
+        cs = np.fromiter(sorted(children[node]), np.int64)
         while used[low]:
             low += 1
-        b = max(1, low - cs[0])
-        while any(used[b + c] for c in cs):
-            b += 1
-        base[state] = b
-        for c in cs:
-            used[b + c] = 1
-            check[b + c] = state
-            todo.append((children[node][c], b + c))
+        if len(cs) == 1:
+            bases[node] = low - cs[0]
+            used[low] = True
+            continue
+        at = low
+        while True:
+            b = np.arange(at, min(at + 2048, size)) - cs[0]
+            fits = np.flatnonzero(~used[b[:, None] + cs].any(1))
+            if len(fits):
+                break
+            at += 2048
+        bases[node] = b[fits[0]]
+        used[bases[node] + cs] = True
+    todo = [0]
+    while todo:
+        node = todo.pop()
+        state = place[node]
+        base[state] = bases[node]
+        for c, child in children[node].items():
+            place[child] = slot = int(bases[node]) + c
+            check[slot], value[slot] = state, ends[child]
+            todo.append(child)
     # room for every byte after the largest base, so that lookups need no bounds
     top = int(base.max()) + 257
     return Trie(*(np.concatenate((a, np.full(max(0, top - size), -1, np.int32)))[: max(top, 1)] for a in (base, check, value)))
