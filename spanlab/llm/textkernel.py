@@ -123,5 +123,17 @@ def windows(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix((total[at + n] - total[at]) * down[at]), at
 
 
+def run_sums(h: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``run_hash`` takes the hash of any run of words."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(len(h) + 1)[0][: len(h)], out=total[1:])
+    return total
+
+
+def run_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of words, the same wherever the run stands."""
+    return mix((total[end] - total[start]) * _powers(len(total))[1][start])
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64, copy=False).view(np.int64)
