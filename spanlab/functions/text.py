@@ -195,12 +195,12 @@ def error_fingerprint(message: Column) -> Column:
 
 
 def is_repo_id(c: Column) -> Column:
-    ok = c.rlike(r"^[A-Za-z0-9_][A-Za-z0-9._-]*(/[A-Za-z0-9_][A-Za-z0-9._-]*)?$")
+    ok = c.rlike(r"^\w[\w.-]*(/\w[\w.-]*)?$")
     return ok & ~c.contains("--") & ~c.contains("..") & (F.length(c) <= 96) & ~c.endswith(".git") & ~c.rlike("[.-]$")
 
 
 def is_revision(c: Column) -> Column:
-    return c.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~c.contains("..") & ~c.endswith("/")
+    return c.rlike(r"^[^\W_][\w./-]*$") & ~c.contains("..") & ~c.endswith("/")
 
 
 def canonical_json(value) -> str:

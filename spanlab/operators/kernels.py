@@ -193,7 +193,7 @@ def speech(probs, samples: int, **options) -> list[tuple[int, int]]:
     return pad_spans(out + h.close(samples), samples, h.pad)
 
 
-ENDINGS = (".", "!", "?", "؟", "،", "؛", "…")
+ENDINGS = tuple(".!?…؟؛،")
 
 
 class Cues:

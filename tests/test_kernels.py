@@ -33,22 +33,21 @@ def test_snap():
 
 
 def test_energy():
-    assert tokens([1, 1, 0, 1, 0, 0, 1, 1], shortest=0.1, longest=0.2, silence=0.05) == [(0, 0.2), (0.30000000000000004, 0.4)] or tokens([1, 1, 0, 1, 0, 0, 1, 1], shortest=0.1, longest=1, silence=0.05) == [(0, 0.25), (0.30000000000000004, 0.4)]
-    assert tokens([1, 1, 0, 1, 0, 0, 1, 1], shortest=0.1, longest=1, silence=0.05) == [(0, 0.25), (0.30000000000000004, 0.4)]
+    assert tokens(map(int, "11010011"), shortest=0.1, longest=1, silence=0.05) == [(0, 0.25), (0.30000000000000004, 0.4)]
     assert tokens([1] * 5, [800] * 4 + [480], shortest=0.1, longest=0.2, silence=0.05) == [(0, 0.2), (0.2, 0.23)]
     assert K.frame_is_loud(np.full(800, np.float32(3 / 32767)), 20 * math.log10(3))
 
 
 def test_speech():
     o = {"shortest_ms": 0, "silence_ms": 64, "pad_ms": 16}
-    assert K.speech([0.1, 0.8, 0.8, 0.1, 0.1, 0.1, 0.1], 7 * 512, **o) == [(256, 1792)]
-    assert K.speech([0.8, 0.8, 0.1, 0.1, 0.1, 0.1] * 2, 12 * 512, **o) == [(0, 1280), (2816, 4352)]
+    assert K.speech([0.1] + [0.8] * 2 + [0.1] * 4, 7 * 512, **o) == [(256, 1792)]
+    assert K.speech(([0.8] * 2 + [0.1] * 4) * 2, 12 * 512, **o) == [(0, 1280), (2816, 4352)]
     assert K.speech([0.8] * 20, 20 * 512, longest_s=0.25, **o) == [(0, 3328), (3328, 6912), (6912, 10240)]
     assert K.speech([0.01, 0.0], 1024, threshold=0.01, pad_ms=0, shortest_ms=0) == [(0, 1024)] or K.speech([0.01, 0.0], 1024, threshold=0.01, pad_ms=0, shortest_ms=0, silence_ms=0) == [(0, 512)]
 
 
 def test_ctc():
-    logp = [[-0.1, -1, -3], [-2, -0.1, -3], [-0.1, -2, -3], [-3, -0.1, -2], [-0.1, -2, -3]]
+    logp = -np.array([(1, 10, 30), (20, 1, 30), (1, 20, 30), (30, 1, 20), (1, 20, 30)]) / 10
     assert K.ctc_align(logp, [1, 1], 0) == [0, 1, 0, 1, 0]
     with pytest.raises(ValueError):
         K.ctc_align(logp[:2], [1, 1], 0)
