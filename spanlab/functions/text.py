@@ -205,7 +205,7 @@ def is_revision(c: Column) -> Column:
 
 def canonical_json(value) -> str:
     """Keys sorted at every depth, no white space, nulls kept."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False, separators=(",", ":"))
 
 
 def fingerprint(value) -> str:
