@@ -258,9 +258,9 @@ tokens AS (SELECT user_id, k, CASE WHEN k % 7 = 0 THEN ' ' WHEN k % 11 = 0 THEN
 @query(f"""WITH {_TOKENS}, f AS (SELECT *, lag(text) OVER w AS was, row_number() OVER w AS rn FROM tokens WHERE text <> '' WINDOW w AS (PARTITION BY user_id ORDER BY k)),
 g AS (SELECT *, sum(CASE WHEN rn = 1 OR was = ' ' OR (text[1] = ' ' AND NOT regexp_full_match(text, ' [!-/:-@\\[-`{{-~]+')) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k) AS wd FROM f),
 h AS (SELECT user_id, wd, string_agg(regexp_replace(text, '^ ', ''), '' ORDER BY k) AS word, min_by(t0, k) AS t0, max_by(t1, k) AS t1, avg(p) AS p FROM g WHERE text <> ' ' GROUP BY user_id, wd)
-SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY wd) - 1 AS word_index, word, t0, t1, round(p, 6) AS p FROM h""")
+SELECT user_id, dense_rank() OVER (PARTITION BY user_id ORDER BY wd) - 1 AS word_index, word, t0, t1, round(p, 10) AS p FROM h""")
 def token_words(spark, d):
-    return timing.token_words(_tokens(spark, d), ["user_id"], "k").select("user_id", "word_index", "word", "t0", "t1", F.round("p", 6).alias("p"))
+    return timing.token_words(_tokens(spark, d), ["user_id"], "k").select("user_id", "word_index", "word", "t0", "t1", F.round("p", 10).alias("p"))
 
 
 @query(f"""WITH {_TOKENS}, s AS (SELECT user_id, k, text, octet_length(encode(text)) AS b, sum(octet_length(encode(text))) OVER (PARTITION BY user_id ORDER BY k) AS upto, sum(octet_length(encode(text))) OVER (PARTITION BY user_id) AS total FROM tokens)
