@@ -6,14 +6,17 @@ are those that aren't common.  Layout and lists hold few common words, prose man
 set of signatures marks the prose.  Two documents are near copies if the Jaccard similarity
 of their sets is ``tau`` at least.
 
-1. Documents with one and the same set are one node, by comparing the sets themselves.
+1. Documents with one and the same set (by 128 bits of it) are one node.
 2. Each set lists its rarest 1 - tau signatures (by a count table of fixed size over the
    whole corpus, ties by hash); sets that are similar enough share one of these.
 3. Under such a signature, sets are sorted by length and compared only within the partition
    of lengths that the threshold allows; the place of the signature bounds the overlap, and
-   a sketch of 32 minimum hashes, of which fewer than SKETCH_LEAST agree for one in some
-   thousand pairs at tau = 0.7, stops most others.  A spanning forest of the pairs that pass is kept.
-4. The whole sets of each candidate group meet in one task for the exact Jaccard.
+   a sketch of 64 one-bit minimum hashes stops most others: of a pair at tau = 0.7, fewer
+   than SKETCH_LEAST agree once in some ten thousand.  A spanning forest of the pairs that
+   pass is kept.
+4. The whole sets of each candidate group meet in one task for the exact Jaccard.  They are
+   made from the text again, since that is cheaper than to keep them, and only those of
+   candidates are shuffled: a Bloom filter of their ids, bounded in size, drops the rest.
 
 Groups are the connected components, so the cost stays linear where thousands of copies are
 near each other.
@@ -42,8 +45,10 @@ ANCHORS = (
     "el los las y del que una por con para es no lo al como se su más o pero sus ha"
 ).split()
 PARAMS = {"chain": 2, "distance": 1, "tau": 0.7, "least": 4}
-SKETCH, SKETCH_LEAST, COUNT_BITS = 32, 12, 18
-_TURNS = (np.random.default_rng(77).integers(1, 1 << 62, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+SKETCH_LEAST, COUNT_BITS = 43, 18
+#: no more than this is broadcast to drop sets that are no candidates; beyond it none is dropped
+MAX_FILTER_BYTES = 64 << 20
+_TURNS = (np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS)) -> tuple[np.ndarray, np.ndarray]:
@@ -69,79 +74,118 @@ def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS)
     return row[keep], sig[keep]
 
 
-def sets(docs: DataFrame, **params) -> DataFrame:
-    """doc_id and the sorted signatures of each document that has enough."""
-    p = PARAMS | params
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null and text is not null")
 
-    def run(b):
-        for at, part in slices(b.column("text")):
-            row, sig = signatures(part, p["chain"], p["distance"])
-            cut = np.searchsorted(row, np.arange(len(part) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(as_long(sig)))
-            ids = b.column("doc_id").slice(at, len(part))
-            yield pa.record_batch([ids, lists], ["doc_id", "sigs"]).filter(pa.array(np.diff(cut) >= p["least"]))
-
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null and text is not null")
-    return map_arrow(rows, run, "doc_id bigint, sigs array<bigint>")
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(lists.offsets.to_numpy())
-    return size, lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
-
-def _counts(nodes: DataFrame) -> np.ndarray:
+def _counts(docs: DataFrame, p: dict) -> np.ndarray:
     """Signatures by the leading bits of their hash, over the whole corpus: a table of fixed size."""
 
     def add(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
-            total += np.bincount((_flat(b.column(0))[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+            for _, part in slices(b.column("text")):
+                total += np.bincount((signatures(part, p["chain"], p["distance"])[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         yield pa.record_batch([pa.array([total.tobytes()])], ["v"])
 
     def merge(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             for v in b.column(0):
-                total += np.frombuffer(v.as_py(), np.int64)
+                total += np.frombuffer(v.as_buffer(), np.int64)
         yield pa.record_batch([pa.array([total.tobytes()])], ["v"])
 
-    parts = nodes.select("sigs").mapInArrow(add, "v binary").repartition(8).mapInArrow(merge, "v binary").collect()
+    parts = _slim(docs).select("text").mapInArrow(add, "v binary").repartition(8).mapInArrow(merge, "v binary").collect()
     return np.sum([np.frombuffer(r[0], np.int64) for r in parts], axis=0)
 
 
-def _prefixes(count, tau: float):
-    """Rows of the rarest signatures: key, node, size and place, and the sketch in four longs."""
+def _prints(count, p: dict):
+    """A row for each document: both halves of its set's hash, size, sketch and rarest signatures."""
 
     def run(b):
-        step = 2048
-        for a in range(0, b.num_rows, step):
-            part = b.slice(a, step)
-            size, sig = _flat(part.column("sigs"))
-            row = np.repeat(np.arange(len(size)), size)
+        for at, part in slices(b.column("text")):
+            row, sig = signatures(part, p["chain"], p["distance"])
+            size = np.bincount(row, minlength=len(part))
+            enough = size >= p["least"]
+            keep = enough[row]
+            row, sig = row[keep], sig[keep]
+            size = size[enough]
+            if not len(size):
+                continue
             begin = np.cumsum(size) - size
-            rare = np.lexsort((sig, count.value[(sig >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], row))
-            place = np.arange(len(sig)) - begin[row]
-            keep = place < (size - np.ceil(tau * size - 1e-9).astype(np.int64) + 1)[row]
-            r = row[keep]
-            sketch = np.empty((len(size), SKETCH), np.uint8)
+            doc = np.repeat(np.arange(len(size)), size)
+            rare = np.lexsort((sig, count.value[(sig >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], doc))
+            listed = size - np.ceil(p["tau"] * size - 1e-9).astype(np.int64) + 1
+            first = (np.arange(len(sig)) - begin[doc]) < listed[doc]
+            sketch = np.zeros(len(size), np.uint64)
             for k, t in enumerate(_TURNS):
-                sketch[:, k] = (np.minimum.reduceat((sig ^ (sig >> np.uint64(31))) * t, begin) >> np.uint64(32)).astype(np.uint8)
-            four = sketch.view(np.int64)
-            nodes = part.column("node").to_numpy(zero_copy_only=False)[r]
-            columns = [as_long(sig[rare[keep]]), nodes, (size[r].astype(np.int64) << 32) | place[keep], *(four[r, k] for k in range(4))]
-            yield pa.record_batch([pa.array(c) for c in columns], ["key", "node", "size", "s0", "s1", "s2", "s3"])
+                sketch |= ((np.minimum.reduceat((sig ^ (sig >> np.uint64(31))) * t, begin) >> np.uint64(40)) & np.uint64(1)) << np.uint64(k)
+            whole = [np.add.reduceat(mix(sig ^ np.uint64(x)), begin) for x in (0, 0xA0761D6478BD642F)]
+            ids = b.column("doc_id").slice(at, len(part)).filter(pa.array(enough))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(listed))), pa.int32()), pa.array(as_long(sig[rare][first])))
+            yield pa.record_batch([ids, *(pa.array(as_long(x)) for x in (*whole, size.astype(np.uint64), sketch)), lists], ["doc_id", "h1", "h2", "size", "sketch", "listed"])
+
+    return run
+
+
+def _sets(candidates, p: dict):
+    """doc_id and signatures of the documents that may be candidates, in 32 bits each."""
+
+    def run(b):
+        ids = b.column("doc_id")
+        if candidates is not None:
+            keep = pa.array(_passes(candidates.value, ids.to_numpy(zero_copy_only=False)))
+            b = b.filter(keep)
+            ids = b.column("doc_id")
+        for at, part in slices(b.column("text")):
+            row, sig = signatures(part, p["chain"], p["distance"])
+            cut = np.searchsorted(row, np.arange(len(part) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.record_batch([ids.slice(at, len(part)), lists], ["node", "sigs"]).filter(pa.array(np.diff(cut) >= p["least"]))
 
     return run
 
 
+def _bits_of(ids: np.ndarray, size: int) -> np.ndarray:
+    x = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return (x[:, None] + (mix(x) | np.uint64(1))[:, None] * np.arange(5, dtype=np.uint64)) % np.uint64(size)
+
+
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bits_of(ids, len(bits) * 8)
+    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
+
+
+def _filter_of(nodes: DataFrame):
+    """A Bloom filter of the ids, eight bits each, made in the tasks; None if it would be too large."""
+    size = max(1024, -(-nodes.count() // 64) * 64)
+    if size > MAX_FILTER_BYTES:
+        return None
+
+    def fill(batches):
+        bits = np.zeros(size * 8, bool)
+        for b in batches:
+            bits[_bits_of(b.column(0).to_numpy(zero_copy_only=False), size * 8).ravel()] = True
+        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["v"])
+
+    parts = nodes.coalesce(4).mapInArrow(fill, "v binary").collect()
+    bits = np.zeros(size, np.uint8)
+    for r in parts:
+        bits |= np.frombuffer(r["v"], np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def _near(size, place, sketch, x, others, tau):
     n, m = size[x], size[others]
     low, high = np.minimum(n, m), np.maximum(n, m)
     need = np.ceil(tau / (1 + tau) * (n + m) - 1e-9)
     bound = np.minimum(n - place[x], m - place[others])
     ok = (low >= tau * high - 1e-9) & (bound >= need)
-    ok[ok] = (sketch[others[ok]] == sketch[x]).sum(1) >= SKETCH_LEAST
+    ok[ok] = np.bitwise_count(sketch[others[ok]] ^ sketch[x]) <= 64 - SKETCH_LEAST
     return ok
 
 
@@ -180,9 +224,8 @@ def _candidates(tau: float):
         for t in runs(batches):
             if not t.num_rows:
                 continue
-            key, node, size, *four = (t.column(k).to_numpy() for k in range(7))
-            size, place = size >> 32, size & 0xFFFFFFFF
-            sketch = np.ascontiguousarray(np.stack(four, axis=1)).view(np.uint8).reshape(-1, SKETCH)
+            key, node, size, sketch = (t.column(k).to_numpy() for k in range(4))
+            size, place, sketch = size >> 32, size & 0xFFFFFFFF, sketch.view(np.uint64)
             change = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.concatenate(([0], change)), np.append(change, len(key))
             a, b = [], []
@@ -246,17 +289,19 @@ def _verify(tau: float):
 def near_copies(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, kept_doc_id) of each document that is a near copy of one that stays."""
     p = PARAMS | params
-    same = Window.partitionBy("k", "sigs")
-    marked = sets(docs, **params).withColumn("k", F.xxhash64("sigs")).select("doc_id", F.min("doc_id").over(same).alias("node"), "sigs")
-    marked = materialize(marked.select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sigs")).alias("sigs")), "sets")
-    nodes = marked.filter("sigs is not null").select("node", "sigs")
+    slim = _slim(docs)
     # a table of fixed size, whatever the corpus
-    count = docs.sparkSession.sparkContext.broadcast(_counts(nodes))
-    listed = map_arrow(nodes, _prefixes(count, p["tau"]), "key bigint, node bigint, size bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    edges = listed.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_candidates(p["tau"]), "a bigint, b bigint")
+    count = docs.sparkSession.sparkContext.broadcast(_counts(docs, p))
+    prints = map_arrow(slim, _prints(count, p), "doc_id bigint, h1 bigint, h2 bigint, size bigint, sketch bigint, listed array<bigint>")
+    marked = prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+    marked = materialize(marked.select("doc_id", "node", "size", "sketch", F.when(F.col("doc_id") == F.col("node"), F.col("listed")).alias("listed")), "prints")
+    rows = marked.select("node", "size", "sketch", F.posexplode("listed").alias("place", "key"))
+    rows = rows.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("size"), "sketch")
+    edges = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_candidates(p["tau"]), "a bigint, b bigint")
     roots = components(edges)
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    met = nodes.join(roots, "node").select("root", "node", "sigs").repartition("root").sortWithinPartitions("root")
+    roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    sets = map_arrow(slim, _sets(_filter_of(roots.select("node")), p), "node bigint, sigs array<int>")
+    met = sets.join(roots, "node").select("root", "node", "sigs").repartition("root").sortWithinPartitions("root")
     low = met.mapInArrow(_verify(p["tau"]), "node bigint, low bigint").groupBy("node").agg(F.min("low").alias("low"))
     out = marked.select("doc_id", "node").join(low, "node", "left").select("doc_id", F.coalesce("low", "node").alias("kept_doc_id"))
     return out.filter("doc_id <> kept_doc_id").distinct()
