@@ -13,6 +13,7 @@ are scored alike.  Extra columns are ignored by ``score`` and kept by ``drop_tox
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,17 +119,20 @@ def fit(docs: DataFrame, labels: DataFrame, **params) -> Model:
     rows = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t")).join(F.broadcast(chosen), "i")
 
     def train(batches):
-        sets, ys = [], []
+        # one example of each text and label: copies shouldn't outvote the rest
+        sets, ys, seen = [], [], set()
         for b in batches:
-            for _, part in slices(b.column("t")):
-                sets += feature_sets(part, p["bits"])
-            ys += b.column("y").to_pylist()
+            labels = b.column("y").to_pylist()
+            for at, part in slices(b.column("t")):
+                for x, y in zip(feature_sets(part, p["bits"]), labels[at:]):
+                    x = x.astype(np.int32)
+                    key = hashlib.blake2b(x.tobytes(), digest_size=16, salt=bytes([y & 255])).digest()
+                    if key not in seen:
+                        seen.add(key)
+                        sets.append(x)
+                        ys.append(y)
         if not sets:
             return
-        # one example of each text and label: copies shouldn't outvote the rest
-        first = {(s.tobytes(), y): k for k, (s, y) in reversed(list(enumerate(zip(sets, ys))))}
-        keep = sorted(first.values())
-        sets, ys = [sets[k] for k in keep], [ys[k] for k in keep]
         m = fit_sets(sets, np.array(ys, float), p)
         yield pa.RecordBatch.from_pylist([{k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in m.items()}])
 
