@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from . import tables
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]"
+# as ranges: a matcher tests one after another for every character
+_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _PY = "[" + re.escape(SPACES) + "]"
 
 
