@@ -33,7 +33,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_copies(table(spark, sf_dir, "documents"))
+    return simhash.near_copies(table(spark, sf_dir, "documents"), simhash.WIDE)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ The covering family for radius r has one table for each non-zero vector v of r +
 bit i of its mask is the inner product over GF(2) of v with a random vector m(i).  For any
 two prints that differ in at most r bits some v is orthogonal to the m(i) of all of them,
 so both agree under that mask: every pair within the radius meets in some table, without
-exception.
+exception.  Beyond WHOLE the family is split: the print has three thirds, and of r differing
+bits some two thirds hold few enough that a small family over these two covers them.
 
 Documents whose prints are equal are one node; within a bucket, all pairs are compared and
 a spanning forest of the near ones is kept, which gives the same groups as all the pairs
@@ -34,6 +35,10 @@ from .graph import components
 from .textkernel import Words, as_long, mix, slices
 
 RADIUS, CHECK = 6, 12
+#: the radius of the registered query and the pipeline: RADIUS misses near copies that the second print would confirm
+WIDE = 9
+#: the largest radius that one family over the whole print covers
+WHOLE = 6
 
 
 def masks(radius: int, seed: int = 11) -> np.ndarray:
@@ -44,6 +49,20 @@ def masks(radius: int, seed: int = 11) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def covering(radius: int) -> np.ndarray:
+    """The masks of all tables.
+
+    Beyond WHOLE, each two thirds of the print get a family of their own.  The differing bits
+    of the three twos add up to 2 * radius at most, so with radii that add up to 2 * radius - 2
+    not all three can be exceeded.
+    """
+    if radius <= WHOLE:
+        return masks(radius)
+    thirds = [np.uint64(sum(1 << b for b in range(*ends))) for ends in ((0, 21), (21, 42), (42, 64))]
+    twos = [thirds[0] | thirds[1], thirds[0] | thirds[2], thirds[1] | thirds[2]]
+    return np.concatenate([masks((2 * radius - 2 + k) // 3, 11 + k) & two for k, two in enumerate(twos)])
+
+
 _HASH_BITS = 44
 #: what a byte of a hash adds to each of its eight bits
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little") - 0.5).astype(np.float64)
@@ -154,11 +173,12 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> Da
     """
     prints = materialize(fingerprints(docs), "simhash")
     nodes = prints.groupBy("simhash", "second").agg(F.min("doc_id").alias("node"))
-    tables = F.array(*[F.lit(int(m)) for m in as_long(masks(radius))])
-    keys = nodes.select("simhash", "second", "node", F.posexplode(tables).alias("t", "m")).select(
-        F.xxhash64(F.col("simhash").bitwiseAND(F.col("m")), "t").alias("key"), "simhash", "second", "node"
-    )
-    edges = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_edges(radius, check), "a bigint, b bigint")
+    tables = F.array(*[F.lit(int(m)) for m in as_long(covering(radius))])
+    rows = nodes.select("simhash", "second", "node", F.posexplode(tables).alias("t", "m")).drop("m")
+    # made again after the shuffle, which is cheaper than to carry it
+    key = F.xxhash64(F.col("simhash").bitwiseAND(F.get(tables, F.col("t"))), "t")
+    keys = rows.repartition(key).select(key.alias("key"), "simhash", "second", "node")
+    edges = keys.sortWithinPartitions("key").mapInArrow(_bucket_edges(radius, check), "a bigint, b bigint")
     roots = components(edges)
     # a print's node is its smallest document: join on it, then carry the root to all its documents
     grouped = (
