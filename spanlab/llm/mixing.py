@@ -7,8 +7,10 @@ gives the same sample.
 
 The default targets smooth each marginal: a value's target share is its token share to
 the power ``alpha``, normalised.  The sampling rate is ``fraction`` times the cell's
-weight ratio; should the largest ratio push a rate beyond one, all rates shrink together,
-so the expected marginals stay on target.
+weight ratio.  A cell whose rate would be beyond one is kept whole, and the others are raked
+again to what is left of the targets, until none is beyond one: so ``fraction`` of the
+tokens is reached whatever the smallest cells are.  What a whole cell lacks of its target
+weight is reported with its rate.
 
 A document's topic is the first one of TOPICS with a keyword in its lower-cased text, else
 'other'; the lexicon is a parameter.  Its tokens are the runs without white space, one at
@@ -52,20 +54,49 @@ def tokens_of(text: Column) -> Column:
 
 def rake(cells: pd.DataFrame, targets: dict[str, dict], iterations: int) -> np.ndarray:
     """Raked weights of the cells; a value that has no target keeps its present share."""
-    total = float(cells.tokens.sum())
     x = cells.tokens.to_numpy(float).copy()
-    coded = []
+    return _fit(x, [(code, share * x.sum()) for code, share in _shares(cells, targets)], iterations)
+
+
+def _shares(cells: pd.DataFrame, targets: dict[str, dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the value of each cell, by number, and the target shares of the values."""
+    x, out = cells.tokens.to_numpy(float), []
     for d in DIMS:
         code, values = pd.factorize(cells[d], use_na_sentinel=False)
-        now = np.bincount(code, x, len(values)) / total
+        now = np.bincount(code, x, len(values)) / x.sum()
         want = np.array([targets[d].get(None if pd.isna(v) else v, s) for v, s in zip(values, now)])
-        coded.append((code, want / want.sum() * total))
+        out.append((code, want / want.sum()))
+    return out
+
+
+def _fit(x: np.ndarray, coded: list[tuple[np.ndarray, np.ndarray]], iterations: int) -> np.ndarray:
     for _ in range(iterations):
         for code, want in coded:
-            x *= (want / np.bincount(code, x, len(want)))[code]
+            have = np.bincount(code, x, len(want))
+            x *= np.divide(want, have, out=np.zeros(len(want)), where=have > 0)[code]
     return x
 
 
+def bound(cells: pd.DataFrame, targets: dict[str, dict], x: np.ndarray, fraction: float, iterations: int) -> np.ndarray:
+    """Sampling rates of the cells, one at most, that keep ``fraction`` of the tokens."""
+    t, coded = cells.tokens.to_numpy(float), _shares(cells, targets)
+    goal = min(fraction, 1.0) * t.sum()
+    y, whole = x * (goal / x.sum()), np.zeros(len(t), bool)
+    while (y[~whole] > t[~whole] * (1 + 1e-9)).any():
+        whole |= y > t * (1 + 1e-9)
+        y[whole] = t[whole]
+        free = ~whole
+        if not free.any():
+            break
+        rest = []
+        for code, share in coded:
+            have = np.bincount(code[free], y[free], len(share))
+            want = np.where(have > 0, np.maximum(share * goal - np.bincount(code[whole], t[whole], len(share)), have), 0)
+            rest.append((code[free], want / want.sum() * (goal - t[whole].sum())))
+        y[free] = _fit(y[free], rest, iterations)
+    return np.minimum(y / t, 1)
+
+
 def smooth(cells: pd.DataFrame, alpha: float) -> dict[str, dict]:
     out = {}
     for d in DIMS:
@@ -94,11 +125,41 @@ def _rake_far(cells: DataFrame, targets: dict[str, DataFrame] | None, p: dict) -
             have = now.groupBy(F.col(d).alias("k")).agg(F.sum("x").alias("have"))
             now = now.join(have, F.col(d).eqNullSafe(F.col("k"))).withColumn("x", F.col("x") * F.col(f"want_{d}") / F.col("have")).drop("k", "have")
         now = materialize(now, "raked")
-    return now.select(*DIMS, "tokens", "x")
+    return now.select(*DIMS, "tokens", "x", *[f"want_{d}" for d in DIMS])
+
+
+def _bound_far(raked: DataFrame, p: dict) -> DataFrame:
+    """``bound`` in DataFrames: the cells with their rate."""
+    fraction = min(p["fraction"], 1.0)
+    total, weight = raked.agg(F.sum("tokens"), F.sum("x")).first()
+    if not total:
+        return raked.withColumn("rate", F.lit(fraction))
+    over = F.col("y") > F.col("tokens") * (1 + 1e-9)
+    now = raked.withColumns({"y": F.col("x") * F.lit(fraction * float(total) / weight), "whole": F.lit(False)})
+    while now.filter(over & ~F.col("whole")).limit(1).count():
+        now = materialize(now.withColumn("whole", F.col("whole") | over).withColumn("y", F.when(F.col("whole"), F.col("tokens").cast("double")).otherwise(F.col("y"))), "whole")
+        kept, free = now.agg(F.coalesce(F.sum(F.when(F.col("whole"), F.col("tokens"))), F.lit(0)), F.count_if(~F.col("whole"))).first()
+        if not free:
+            break
+        for d in DIMS:
+            have, fixed = F.coalesce(F.sum(F.when(~F.col("whole"), F.col("y"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("whole"), F.col("tokens"))), F.lit(0))
+            rest = now.groupBy(F.col(d).alias("k")).agg(have.alias("have"), fixed.alias("fixed"), F.first(f"want_{d}").alias("want"))
+            rest = rest.select("k", F.when(F.col("have") > 0, F.greatest(F.col("want") * F.lit(fraction) - F.col("fixed"), "have")).otherwise(F.lit(0.0)).alias("rest"))
+            norm = rest.agg(F.sum("rest")).first()[0]
+            rest = rest.select("k", (F.col("rest") / F.lit(norm) * F.lit(fraction * float(total) - float(kept))).alias(f"rest_{d}"))
+            now = now.join(rest, F.col(d).eqNullSafe(F.col("k"))).drop("k")
+        for _ in range(p["iterations"]):
+            for d in DIMS:
+                have = now.groupBy(F.col(d).alias("k")).agg(F.sum(F.when(~F.col("whole"), F.col("y"))).alias("have"))
+                y = F.when(F.col("whole"), F.col("y")).otherwise(F.col("y") * F.col(f"rest_{d}") / F.col("have"))
+                now = now.join(have, F.col(d).eqNullSafe(F.col("k"))).withColumn("y", y).drop("k", "have")
+            now = materialize(now, "bound")
+        now = now.drop(*[f"rest_{d}" for d in DIMS])
+    return now.withColumn("rate", F.least(F.col("y") / F.col("tokens"), F.lit(1.0)))
 
 
 def rates(cells: DataFrame, targets: dict[str, dict] | None = None, **params) -> DataFrame:
-    """source, lang, topic, weight ratio g and sampling rate of each cell.
+    """source, lang, topic, weight ratio g and sampling rate of each cell, and the tokens that it lacks as its rate is one at most.
 
     ``cells`` has source, lang, topic and tokens.  Up to ``max_local_cells`` the driver
     rakes; beyond it the loop runs in DataFrames, with the same result.
@@ -108,17 +169,17 @@ def rates(cells: DataFrame, targets: dict[str, dict] | None = None, **params) ->
     few = cells.limit(p["max_local_cells"] + 1).count() <= p["max_local_cells"]
     if few:
         pdf = pd.DataFrame([r.asDict() for r in cells.orderBy(*DIMS).collect()], columns=[*DIMS, "tokens"])
-        x = rake(pdf, targets or smooth(pdf, p["alpha"]), p["iterations"]) if len(pdf) else []
-        rows = [tuple(None if isinstance(v, float) else v for v in r) + (float(t), float(w)) for *r, t, w in zip(*(pdf[d] for d in DIMS), pdf.tokens, x)]
-        raked = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double, x double")
-        top = max((w / t for *_, t, w in rows), default=1.0)
+        want = targets or smooth(pdf, p["alpha"])
+        x = rake(pdf, want, p["iterations"]) if len(pdf) else []
+        rate = bound(pdf, want, x, p["fraction"], p["iterations"]) if len(pdf) else []
+        rows = [tuple(None if isinstance(v, float) else v for v in r) + (float(t), float(w), float(k)) for *r, t, w, k in zip(*(pdf[d] for d in DIMS), pdf.tokens, x, rate)]
+        rated = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double, x double, rate double")
     else:
         frames = {d: spark.createDataFrame(list(t.items()), f"v {cells.schema[d].dataType.simpleString()}, w double") for d, t in (targets or {}).items()}
-        raked = _rake_far(cells, frames or None, p)
-        top = raked.agg(F.max(F.col("x") / F.col("tokens"))).first()[0]
-    f = min(p["fraction"], 1.0 / top)
+        rated = _bound_far(_rake_far(cells, frames or None, p), p)
     g = F.col("x") / F.col("tokens")
-    return raked.select(F.col("source").alias("g_source"), F.col("lang").alias("g_lang"), F.col("topic").alias("g_topic"), g.alias("g_ratio"), (g * F.lit(f)).alias("g_rate"))
+    lacks = F.greatest(F.col("x") * F.lit(p["fraction"]) - F.col("tokens"), F.lit(0.0))
+    return rated.select(F.col("source").alias("g_source"), F.col("lang").alias("g_lang"), F.col("topic").alias("g_topic"), g.alias("g_ratio"), F.col("rate").alias("g_rate"), lacks.alias("g_lacks"))
 
 
 def _rated(keyed: DataFrame, rate: DataFrame) -> DataFrame:
