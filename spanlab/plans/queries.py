@@ -327,16 +327,15 @@ def file_profile(spark, d):
 def _pairs(spark, d):
     c = V.table(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("ref"), F.lead(F.substring("text", 1, 200)).over(w).alias("hyp")).filter("role = 'user'")
+    return c.select("conv_id", "turn", "role", F.col("text").alias("ref"), F.lead("text").over(w).alias("hyp")).filter("role = 'user'")
 
 
 @query("""WITH p AS (SELECT conv_id, turn, role, text[1:200] AS ref, coalesce(lead(text[1:200]) OVER (PARTITION BY conv_id ORDER BY turn), '') AS hyp FROM conversations)
 SELECT conv_id, turn, levenshtein(ref, hyp) AS char_edits, length(ref) AS ref_chars FROM p WHERE role = 'user' AND regexp_full_match(ref || hyp, '[ -~\n]*')""")
 def char_errors(spark, d):
     c = V.table(spark, d, "conversations")
-    hyp = F.coalesce(F.lead(F.substring("text", 1, 200)).over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    rows = c.select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("ref"), hyp.alias("hyp")).filter("role = 'user'")
-    rows = rows.filter(F.concat("ref", "hyp").rlike(r"^[ -~\n]*$"))  # the oracle's distance counts bytes
+    hyp = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = c.select("conv_id", "turn", "role", F.col("text").alias("ref"), hyp.alias("hyp")).filter("role = 'user'")
     return rows.select("conv_id", "turn", F.levenshtein("ref", "hyp").alias("char_edits"), F.length("ref").alias("ref_chars"))
 
 
