@@ -36,9 +36,9 @@ f AS (SELECT stream, idx, 0 AS k, start AS a, "end" AS b FROM sp WHERE idx = 0
   UNION ALL SELECT s.stream, s.idx, CASE WHEN s."end" - f.a <= 7200 + 1e-9 THEN f.k ELSE f.k + 1 END, CASE WHEN s."end" - f.a <= 7200 + 1e-9 THEN f.a ELSE s.start END, s."end" FROM f JOIN sp s ON s.stream = f.stream AND s.idx = f.idx + 1)
 SELECT stream, count(DISTINCT k) AS n, round(max(b - a), 3) AS widest FROM (SELECT stream, k, min(a) AS a, max_by(b, idx) AS b FROM f GROUP BY ALL) GROUP BY stream""")
 def merge_fold(spark, d):
-    """The first twenty spans of a stream as an array, folded inside the JVM."""
+    """All spans of a stream as an array, folded inside the JVM."""
     one = F.struct("idx", (F.col("start") % 100_000_000 / 1000).alias("start"), ((F.col("end") - F.col("start") + F.col("start") % 100_000_000) / 1000).alias("end"))
-    arrays = V.spans(spark, d).filter("idx < 20").groupBy("stream").agg(F.array_sort(F.collect_list(one)).alias("s"))
+    arrays = V.spans(spark, d).groupBy("stream").agg(F.array_sort(F.collect_list(one)).alias("s"))
     m = arrays.select("stream", S.merge_array(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), 7200.0).alias("m"))
     return m.select("stream", F.size("m").cast("long").alias("n"), F.round(F.array_max(F.transform("m", lambda x: x["end"] - x["start"])), 3).alias("widest"))
 
