@@ -57,8 +57,8 @@ def budgets(spark, d):
 e AS (SELECT *, CASE WHEN 100000 - t > 0 THEN floor((100000 - t) * n / t) ELSE 0 END AS extra, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_custkey) AS rk FROM w)
 SELECT c_nationkey, c_custkey, n, (n + extra + CASE WHEN rk = 1 THEN greatest(0, 100000 - t) - sum(extra) OVER (PARTITION BY c_nationkey) ELSE 0 END)::BIGINT AS granted FROM e""")
 def leftover_shares(spark, d):
-    rows = V.table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_nationkey", "c_custkey", ((F.col("c_custkey") % 97 + 3) * 10).alias("n"))
-    return packing.share_leftover(rows, ["c_nationkey"], "c_custkey", "n", 100_000).withColumnRenamed("grant", "granted").select("c_nationkey", "c_custkey", "n", "granted")
+    rows = V.table(spark, d, "customer").select("c_nationkey", "c_custkey", ((F.col("c_custkey") % 97 + 3) * 10).alias("n"))
+    return packing.share_leftover(rows, ["c_nationkey"], "c_custkey", "n", 1_000_000).withColumnRenamed("grant", "granted").select("c_nationkey", "c_custkey", "n", "granted")
 
 
 @query("""SELECT doc_id, [{'format': 'txt', 'size': octet_length(encode(text))::BIGINT, 'sha256': sha256(text)}, {'format': 'vtt', 'size': 7::BIGINT + octet_length(encode(text)), 'sha256': sha256('WEBVTT' || chr(10) || text)}] AS outputs FROM documents""")
