@@ -49,7 +49,7 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.near_copies(table(spark, sf_dir, "documents"))
+    return spotsigs.near_copies(table(spark, sf_dir, "documents"), few=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

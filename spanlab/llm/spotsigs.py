@@ -21,8 +21,13 @@ of their sets is ``tau`` at least.
 Groups are the connected components, so the cost stays linear where thousands of copies are
 near each other.
 
-Defined results: a document with fewer than ``least`` signatures (null, empty or short
-text, no common words) is never a near copy.  Rows with a null doc_id are left out.  Rows
+A document with fewer than ``least`` signatures (short text, lists, few common words) has
+too few of them to tell it.  With ``few`` its set holds its words besides, so that it is
+compared by its text; without, it is left out.  A set with words and one of signatures only
+are never similar.
+
+Defined results: a document without words (null, empty, punctuation) is never a near copy;
+nor, without ``few``, is one with fewer than ``least`` signatures.  Rows with a null doc_id are left out.  Rows
 that repeat a doc_id are one document.  The smallest doc_id of a group stays.  Extra
 columns are ignored.
 """
@@ -44,16 +49,16 @@ ANCHORS = (
     "le la les de des et en un une du que qui dans pour par sur est au pas ce il avec ne se sont "
     "el los las y del que una por con para es no lo al como se su más o pero sus ha"
 ).split()
-PARAMS = {"chain": 2, "distance": 1, "tau": 0.7, "least": 4}
+PARAMS = {"chain": 2, "distance": 1, "tau": 0.7, "least": 4, "few": False}
 SKETCH_LEAST, COUNT_BITS = 43, 18
 #: no more than this is broadcast to drop sets that are no candidates; beyond it none is dropped
 MAX_FILTER_BYTES = 64 << 20
 _TURNS = (np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS)) -> tuple[np.ndarray, np.ndarray]:
+def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS), w: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and signature, sorted, each once a row."""
-    w = Words(rows)
+    w = w or Words(rows)
     common = np.unique(Words(pa.array(anchors)).hash)
     is_common = np.isin(w.hash, common)
     at, content = np.flatnonzero(is_common), np.flatnonzero(~is_common)
@@ -66,7 +71,10 @@ def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS)
         same = w.row[word] == w.row[at]
         at, first, sig, word = at[same], first[same], sig[same], word[same]
         sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + w.hash[word])
-    row = w.row[at]
+    return _once(w.row[at], sig)
+
+
+def _once(row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((sig, row))
     row, sig = row[order], sig[order]
     keep = np.ones(len(row), bool)
@@ -74,6 +82,20 @@ def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS)
     return row[keep], sig[keep]
 
 
+def set_of(rows: pa.Array, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Row and member of each row's set: signatures, and words where these are few."""
+    w = Words(rows)
+    row, sig = signatures(rows, p["chain"], p["distance"], w=w)
+    if p["few"]:
+        by_word = (np.bincount(row, minlength=len(rows)) < p["least"])[w.row]
+        row, sig = _once(np.concatenate((row, w.row[by_word])), np.concatenate((sig, mix(w.hash[by_word] ^ np.uint64(0xD6E8FEB86659FD93)))))
+    return row, sig
+
+
+def _least(p: dict) -> int:
+    return 1 if p["few"] else p["least"]
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null and text is not null")
 
@@ -85,7 +107,7 @@ def _counts(docs: DataFrame, p: dict) -> np.ndarray:
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             for _, part in slices(b.column("text")):
-                total += np.bincount((signatures(part, p["chain"], p["distance"])[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount((set_of(part, p)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         yield pa.record_batch([pa.array([total.tobytes()])], ["v"])
 
     def merge(batches):
@@ -104,9 +126,9 @@ def _prints(count, p: dict):
 
     def run(b):
         for at, part in slices(b.column("text")):
-            row, sig = signatures(part, p["chain"], p["distance"])
+            row, sig = set_of(part, p)
             size = np.bincount(row, minlength=len(part))
-            enough = size >= p["least"]
+            enough = size >= _least(p)
             keep = enough[row]
             row, sig = row[keep], sig[keep]
             size = size[enough]
@@ -138,10 +160,10 @@ def _sets(candidates, p: dict):
             b = b.filter(keep)
             ids = b.column("doc_id")
         for at, part in slices(b.column("text")):
-            row, sig = signatures(part, p["chain"], p["distance"])
+            row, sig = set_of(part, p)
             cut = np.searchsorted(row, np.arange(len(part) + 1))
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.record_batch([ids.slice(at, len(part)), lists], ["node", "sigs"]).filter(pa.array(np.diff(cut) >= p["least"]))
+            yield pa.record_batch([ids.slice(at, len(part)), lists], ["node", "sigs"]).filter(pa.array(np.diff(cut) >= _least(p)))
 
     return run
 
