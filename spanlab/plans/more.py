@@ -31,7 +31,7 @@ def samples_to_seconds(spark, d):
     return V.table(spark, d, "lineitem").filter(left).select("l_orderkey", "l_linenumber", "l_partkey", a.alias("start"), b.alias("end"))
 
 
-@query(f"""WITH RECURSIVE {V.SPANS}, sp AS MATERIALIZED (SELECT stream, idx, (start % 100000000) / 1000.0::DOUBLE AS start, ("end" - start + start % 100000000) / 1000.0::DOUBLE AS "end" FROM spans WHERE idx < 20),
+@query(f"""WITH RECURSIVE {V.SPANS}, sp AS MATERIALIZED (SELECT stream, idx, (start % 100000000) / 1000.0::DOUBLE AS start, ("end" - start + start % 100000000) / 1000.0::DOUBLE AS "end" FROM spans),
 f AS (SELECT stream, idx, 0 AS k, start AS a, "end" AS b FROM sp WHERE idx = 0
   UNION ALL SELECT s.stream, s.idx, CASE WHEN s."end" - f.a <= 7200 + 1e-9 THEN f.k ELSE f.k + 1 END, CASE WHEN s."end" - f.a <= 7200 + 1e-9 THEN f.a ELSE s.start END, s."end" FROM f JOIN sp s ON s.stream = f.stream AND s.idx = f.idx + 1)
 SELECT stream, count(DISTINCT k) AS n, round(max(b - a), 3) AS widest FROM (SELECT stream, k, min(a) AS a, max_by(b, idx) AS b FROM f GROUP BY ALL) GROUP BY stream""")
@@ -53,9 +53,9 @@ def budgets(spark, d):
     )
 
 
-@query("""WITH g AS (SELECT c_nationkey, c_custkey, (c_custkey % 97 + 3) * 10 AS n FROM customer WHERE c_custkey % 10 = 0), w AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS t FROM g),
-e AS (SELECT *, CASE WHEN 100000 - t > 0 THEN floor((100000 - t) * n / t) ELSE 0 END AS extra, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_custkey) AS rk FROM w)
-SELECT c_nationkey, c_custkey, n, (n + extra + CASE WHEN rk = 1 THEN greatest(0, 100000 - t) - sum(extra) OVER (PARTITION BY c_nationkey) ELSE 0 END)::BIGINT AS granted FROM e""")
+@query("""WITH g AS (SELECT c_nationkey, c_custkey, (c_custkey % 97 + 3) * 10 AS n FROM customer), w AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS t FROM g),
+e AS (SELECT *, CASE WHEN 1000000 - t > 0 THEN floor((1000000 - t) * n / t) ELSE 0 END AS extra, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_custkey) AS rk FROM w)
+SELECT c_nationkey, c_custkey, n, (n + extra + CASE WHEN rk = 1 THEN greatest(0, 1000000 - t) - sum(extra) OVER (PARTITION BY c_nationkey) ELSE 0 END)::BIGINT AS granted FROM e""")
 def leftover_shares(spark, d):
     rows = V.table(spark, d, "customer").select("c_nationkey", "c_custkey", ((F.col("c_custkey") % 97 + 3) * 10).alias("n"))
     return packing.share_leftover(rows, ["c_nationkey"], "c_custkey", "n", 1_000_000).withColumnRenamed("grant", "granted").select("c_nationkey", "c_custkey", "n", "granted")

@@ -330,8 +330,7 @@ def _pairs(spark, d):
     return c.select("conv_id", "turn", "role", F.col("text").alias("ref"), F.lead("text").over(w).alias("hyp")).filter("role = 'user'")
 
 
-@query("""WITH p AS (SELECT conv_id, turn, role, text[1:200] AS ref, coalesce(lead(text[1:200]) OVER (PARTITION BY conv_id ORDER BY turn), '') AS hyp FROM conversations)
-SELECT conv_id, turn, levenshtein(ref, hyp) AS char_edits, length(ref) AS ref_chars FROM p WHERE role = 'user' AND regexp_full_match(ref || hyp, '[ -~\n]*')""")
+@query()
 def char_errors(spark, d):
     c = V.table(spark, d, "conversations")
     hyp = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
@@ -450,12 +449,12 @@ def star_tokens(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", T.with_stars(T.words(F.col("text"))).alias("tokens"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(text, '[.,:;!?()"]', ' ', 'g')), '[ \n]+'), lambda w: w <> ''), ' ') AS normalized FROM benchmark WHERE regexp_full_match(text, '[A-Za-z .,\n]+')""")
+@query()
 def normalize_text(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("normalized"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z]', '', 'g'), '(.)', '\1 ', 'g')) AS romanized FROM benchmark WHERE regexp_full_match(text, '[A-Za-z .,\n]+')""")
+@query()
 def romanize_text(spark, d):
     return V.table(spark, d, "benchmark").select("item_id", T.romanize(F.col("text")).alias("romanized"))
 
@@ -477,7 +476,7 @@ def unknown_rows(spark, d):
     return profile.unknown_rows(V.table(spark, d, "labels").select(F.col("doc_id").alias("id")), V.table(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'archive only' ELSE 'installed only' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'archive only' ELSE 'installed only' END AS side FROM (SELECT DISTINCT doc_id FROM documents) a FULL OUTER JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
 def compare_files(spark, d):
     return profile.compare_files(V.table(spark, d, "documents").select("doc_id"), V.table(spark, d, "labels").select("doc_id"), "doc_id")
 
