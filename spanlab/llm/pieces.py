@@ -21,6 +21,7 @@ rows are encoded alike.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -62,7 +63,7 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
                 ends.append(-1)
             at = children[at][c]
         ends[at] = v
-    size = 1 << max(10, (len(children) * 2 + 512).bit_length())
+    size = 1 << max(12, (len(children) * 4 + 4096).bit_length())
     base, check, value = (np.full(size, x, np.int32) for x in (0, -1, -1))
     used = np.zeros(size + 512, bool)
     used[:257] = True  # so that no base is negative
@@ -71,6 +72,7 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
     # nodes with many children first: the rest then fill the gaps
     order = sorted((k for k in range(len(children)) if children[k]), key=lambda k: -len(children[k]))
     bases = np.zeros(len(children), np.int64)
+    begin: dict[int, int] = {}  # where the last node with so many children found room
     for node in order:
         cs = np.fromiter(sorted(children[node]), np.int64)
         while used[low]:
@@ -79,13 +81,14 @@ def build_trie(keys: list[tuple[bytes, int]]) -> Trie:
             bases[node] = low - cs[0]
             used[low] = True
             continue
-        at = low
+        at, step = max(low, begin.get(len(cs), 0)), 32
         while True:
-            b = np.arange(at, min(at + 2048, size)) - cs[0]
+            b = np.arange(at, min(at + step, size)) - cs[0]
             fits = np.flatnonzero(~used[b[:, None] + cs].any(1))
             if len(fits):
                 break
-            at += 2048
+            at, step = at + step, min(2048, step * 4)
+        begin[len(cs)] = at
         bases[node] = b[fits[0]]
         used[bases[node] + cs] = True
     todo = [0]
@@ -112,6 +115,7 @@ class Vocabulary:
     out: tuple[bytes, ...]
 
 
+@functools.lru_cache(maxsize=2)
 def load(model_file: str = MODEL) -> Vocabulary:
     import sentencepiece
 
@@ -227,18 +231,41 @@ class Encoder:
             new = list(set().union(*parts))
         raw = [p.replace(" ", MARK).encode() for p in new]
         short = [k for k, r in enumerate(raw) if len(r) <= SHORT]
-        extra = {}
         for k, ids in zip(short, encode_parts(self.v, [raw[k] for k in short]) if short else ()):
             self.seen[new[k]] = ids.tobytes()
-        for k, r in enumerate(raw):
-            if len(r) > SHORT:
-                extra[new[k]] = encode_parts(self.v, [r])[0].tobytes()
-        seen = self.seen | extra if extra and len(texts) > 1 else self.seen
-        if extra and seen is self.seen:
-            get = lambda p: extra.get(p) or self.seen[p]
-        else:
-            get = seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
+        long = [k for k, r in enumerate(raw) if len(r) > SHORT]
+        for k in long:
+            self.seen[new[k]] = encode_parts(self.v, [raw[k]])[0].tobytes()
+        out = [np.frombuffer(b"".join(map(self.seen.__getitem__, p)), np.int32) for p in parts]
+        for k in long:
+            del self.seen[new[k]]
+        return out
+
+
+class Spelling:
+    """The bytes of every piece, with the marker as a space, in one array."""
+
+    def __init__(self, v: Vocabulary):
+        spelled = [b.replace(MARK.encode(), b" ") for b in v.out]
+        self.size = np.array([len(b) for b in spelled], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def exact(self, ids: np.ndarray, n: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether the ids of each text (``n`` of them) decode to it, byte for byte."""
+        size = self.size[ids]
+        end = np.concatenate(([0], np.cumsum(size)))
+        first = np.concatenate(([0], np.cumsum(n)))
+        got = np.diff(end[first])
+        want = [b" " + t.encode() for t in texts]
+        same = got == np.array([len(w) for w in want], np.int64)
+        keep = np.repeat(same, n)
+        ids, size = ids[keep], size[keep]
+        at = np.repeat(self.begin[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        wrong = np.concatenate(([0], np.cumsum(self.data[at] != np.frombuffer(b"".join(w for w, s in zip(want, same) if s), np.uint8))))
+        cut = np.concatenate(([0], np.cumsum(got[same])))
+        same[same] = np.diff(wrong[cut]) == 0
+        return same
 
 
 def decode(v: Vocabulary, ids: list[int]) -> str:
@@ -256,6 +283,7 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     def run(b):
         if "e" not in memory:
             memory["e"] = Encoder(shared.value)
+            memory["s"] = Spelling(shared.value)
         enc = memory["e"]
         for at, part in slices(b.column("text")):
             texts = part.to_pylist()
@@ -265,7 +293,7 @@ def encode(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
             n[null] = 0
             flat = np.concatenate([g for g, x in zip(got, null) if not x]) if not null.all() else np.zeros(0, np.int32)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32(), mask=np.append(null, False)), pa.array(flat))
-            exact = pa.array([None if t is None else decode(enc.v, g.tolist()) == t for t, g in zip(texts, got)], pa.bool_())
+            exact = pa.array(memory["s"].exact(np.concatenate(got), np.array([len(g) for g in got], np.int64), [t or "" for t in texts]), mask=null)
             yield pa.record_batch([b.column("doc_id").slice(at, len(part)), ids, pa.array(n, mask=null), exact], ["doc_id", "ids", "n_tokens", "exact"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id bigint, ids array<int>, n_tokens int, exact boolean")

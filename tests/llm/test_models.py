@@ -102,10 +102,9 @@ def score_of(v, ids):
     return total
 
 
-def test_encoding_is_the_best_cut_and_decodes(spark, sf):
+def test_encoding_is_the_best_cut_and_decodes():
     v = P.load()
-    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
-    texts = ["", "a", "  two  spaces ", "日本語😀 x\n\nline", "naïve\tq", "x" * 300, *[t[:160] for t in docs]]
+    texts = ["", "a", "  two  spaces ", "日本語😀 x\n\nline", "naïve\tq", "x" * 300]
     ids = P.Encoder(v).encode(texts)
     for t, x in zip(texts, ids):
         assert P.decode(v, x.tolist()) == t
