@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sample(table(spark, sf_dir, "documents"))
+    return mixing.sample(table(spark, sf_dir, "documents"), mixing.LANG_SHARES)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_mixing": mixing.sample_sql(),
+    "op1_mixing": mixing.sample_sql(mixing.LANG_SHARES),
     "op2_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
     "op9_urlfilter": urlfilter.pages_sql(),
 }

@@ -37,3 +37,28 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got)
     assert sum(r.doc_id == 0 for r in got) in (0, 2)
     assert mixing.sample(docs.limit(0)).collect() == [] and mixing.resample(docs.limit(0)).collect() == []
+
+
+def test_words_stand_alone_and_a_column_of_topics(spark):
+    texts = ["the secretary's phonetic licenses", "a Secret!", "phone", "call +1 (555)", "token = x", "no token here", None]
+    rows = spark.createDataFrame([(k, t, "en", "s", f"t{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, kind string")
+    got = [r.t for r in rows.select(mixing.topic_of(rows["text"]).alias("t")).collect()]
+    assert got == ["other", "credential", "contact", "contact", "credential", "other", "other"]
+    assert {r.topic for r in mixing.sample(rows, topic="kind", fraction=1.0, alpha=1.0).collect()} == {"t0", "t1"}
+
+
+def test_rates_are_broadcast_and_no_text_moves(spark, sf):
+    plan = mixing.resample(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_given_shares_are_met(spark, sf):
+    """The weights of the registered query meet its language shares."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keys = docs.select(*mixing._keys(docs, None), mixing.tokens_of(docs["text"]).alias("k_tokens"))
+    got = {}
+    cells = mixing._cells(keys)
+    tokens = {(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}
+    for r in mixing.rates(cells, mixing.LANG_SHARES).collect():
+        got[r.g_lang] = got.get(r.g_lang, 0) + r.g_ratio * tokens[r.g_source, r.g_lang, r.g_topic]
+    assert all(abs(got[k] / sum(got.values()) - v) < 1e-6 for k, v in mixing.LANG_SHARES["lang"].items())
