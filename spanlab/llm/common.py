@@ -30,12 +30,69 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: tables of this process that are still there, oldest first
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is left there goes when the application ends."""
+    path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
+    _made.append(path)
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and outlives any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nobody reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+    _made.remove(path)
+
+
+class Passing:
+    """Tables made inside the block that only serve the ones that are kept.
+
+    ``keep(df, label)`` writes a table that stays; when the block ends without an error, all
+    others that were made inside it are deleted.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Passing:
+        self.before = len(_made)
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        out = materialize(df, label)
+        self.kept.add(_made[-1])
+        return out
+
+    def __exit__(self, kind, *_):
+        if kind is None:
+            for path in [p for p in _made[self.before :] if p not in self.kept]:
+                _delete(self.spark, path)
 
 
 def map_arrow(

@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Each edge with the least end over all edges of its first; combined before the shuffle, so a hub is no long task."""
+    low = edges.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low"))
+    return edges.join(low, F.col("a") == F.col("at")).select("a", "b", F.least("a", "low").alias("m"))
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = F.least("a", F.min("b").over(Window.partitionBy("a")))
-    large = both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.filter("a <> b").distinct()
     # every edge now runs from the larger to the smaller end
-    low = F.min("b").over(Window.partitionBy("a"))
-    small = large.select("a", "b", low.alias("m"))
-    return (
-        small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-        .select("e.a", "e.b").filter("a <> b").distinct()
-    )
+    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+    return _with_least(large).select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge and isn't its component's smallest.
 
     ``edges`` has long columns a and b.  Each round is written to the shared folder, so
-    lineage stays short; it ends when a round changes nothing.
+    lineage stays short; it ends when a round changes nothing, after some log of the
+    number of nodes.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while True:
         # the sum of hashes is an order-free mark of the edge set
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
-        now = materialize(_stars(now), "stars")
-    else:
-        raise RuntimeError("components: not settled")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, now = now, materialize(_stars(now), "stars")
+        discard(before)
