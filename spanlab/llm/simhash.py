@@ -15,7 +15,9 @@ bits some two thirds hold few enough that a small family over these two covers t
 
 Documents whose prints are equal are one node; within a bucket, all pairs are compared and
 a spanning forest of the near ones is kept, which gives the same groups as all the pairs
-at a linear number of edges.  Groups are the connected components.
+at a linear number of edges.  A bucket of more than ``most`` prints is dealt to blocks, and
+every two blocks meet in a task of their own, so a task's memory is bounded.  Groups are the
+connected components.
 
 Defined results: a document without words (null, empty, punctuation) has no print and is
 never a near copy.  Rows with a null doc_id are left alone.  Rows that repeat a doc_id are
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, materialize
 from .graph import components
+from .hot import MOST, in_blocks
 from .textkernel import Words, as_long, mix, slices
 
 RADIUS, CHECK = 6, 12
@@ -166,7 +169,7 @@ def _bucket_edges(radius: int, check: int):
     return run
 
 
-def near_copies(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = RADIUS, check: int = CHECK, most: int = MOST) -> DataFrame:
     """(doc_id, kept_doc_id) of each document that is a near copy of one that stays.
 
     A document that is in no row stays.
@@ -177,7 +180,11 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, check: int = CHECK) -> Da
     rows = nodes.select("simhash", "second", "node", F.posexplode(tables).alias("t", "m")).drop("m")
     # made again after the shuffle, which is cheaper than to carry it
     key = F.xxhash64(F.col("simhash").bitwiseAND(F.get(tables, F.col("t"))), "t")
-    keys = rows.repartition(key).select(key.alias("key"), "simhash", "second", "node")
+    n = nodes.count()  # no bucket has more rows
+    if n <= most:
+        keys = rows.repartition(key).select(key.alias("key"), "simhash", "second", "node")
+    else:
+        keys = in_blocks(rows.select(key.alias("key"), "simhash", "second", "node"), n, most).repartition("key")
     edges = keys.sortWithinPartitions("key").mapInArrow(_bucket_edges(radius, check), "a bigint, b bigint")
     roots = components(edges)
     # a print's node is its smallest document: join on it, then carry the root to all its documents

@@ -35,3 +35,17 @@ def test_registered_query_against_all_pairs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = sorted((r.doc_id, r.kept_doc_id) for r in registry.op6_simhash(spark, sf).collect())
     assert got and got == groups([(r.doc_id, r.text) for r in docs.collect()], simhash.WIDE, simhash.CHECK)
+
+
+def test_buckets_in_blocks(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(900)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.kept_doc_id) for r in simhash.near_copies(docs, 6, 12, most=5).collect())
+    assert got == groups(rows, 6, 12)
