@@ -7,19 +7,21 @@ set of signatures marks the prose.  Two documents are near copies if the Jaccard
 of their sets is ``tau`` at least.
 
 1. Documents with one and the same set (by 128 bits of it) are one node.
-2. Each set lists its rarest 1 - tau signatures (by a count table of fixed size over the
-   whole corpus, ties by hash); sets that are similar enough share one of these.
-3. Under such a signature, sets are sorted by length and compared only within the partition
-   of lengths that the threshold allows; the place of the signature bounds the overlap, and
-   a sketch of 64 one-bit minimum hashes stops most others: of a pair at tau = 0.7, fewer
-   than SKETCH_LEAST agree once in some ten thousand.  A spanning forest of the pairs that
-   pass is kept.
-4. The whole sets of each candidate group meet in one task for the exact Jaccard.  They are
-   made from the text again, since that is cheaper than to keep them, and only those of
-   candidates are shuffled: a Bloom filter of their ids, bounded in size, drops the rest.
-
-Groups are the connected components, so the cost stays linear where thousands of copies are
-near each other.
+2. Each set lists its rarest 1 - tau signatures, by the counts of their words over the whole
+   corpus (a table of fixed size; the vocabulary hardly grows with it); sets that are similar
+   enough share one of these.
+3. Under such a signature, sets are sorted by length and each is compared only with the part
+   of lengths that the threshold allows; the places of the signature bound the overlap.  Both
+   tests only drop pairs that can't reach the threshold.  A spanning forest of the pairs that
+   are left is kept, so thousands of near copies give a linear number of them.
+4. Each kept pair is decided by the exact Jaccard of the whole sets, 64 bits a member.  The
+   sets are made from the text again, since that is cheaper than to keep them, and only those
+   of candidates are shuffled: a Bloom filter of their ids drops most of the others.
+5. Where a forest had a pair that is not similar it may have hidden another.  Under those
+   signatures, all pairs of sets that are in different groups by now are decided as well.
+
+So every pair of sets that are similar enough is linked, for any tau.  Groups are the
+connected components.
 
 A document with fewer than ``least`` signatures (short text, lists, few common words) has
 too few of them to tell it.  With ``few`` its set holds its words besides, so that it is
@@ -39,8 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from . import bloom
+from .common import Passing, map_arrow, materialize
 from .graph import components
+from .hot import MOST, in_blocks
 from .textkernel import Words, as_long, mix, slices
 
 ANCHORS = (
@@ -50,46 +54,57 @@ ANCHORS = (
     "el los las y del que una por con para es no lo al como se su más o pero sus ha"
 ).split()
 PARAMS = {"chain": 2, "distance": 1, "tau": 0.7, "least": 4, "few": False}
-SKETCH_LEAST, COUNT_BITS = 43, 18
-#: no more than this is broadcast to drop sets that are no candidates; beyond it none is dropped
-MAX_FILTER_BYTES = 64 << 20
-_TURNS = (np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+COUNT_BITS, RANGES = 18, 64
+#: pairs that a task holds before it hands them on
+HELD = 1 << 18
 
 
 def signatures(rows: pa.Array, chain: int, distance: int, anchors=tuple(ANCHORS), w: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row and signature, sorted, each once a row."""
-    w = w or Words(rows)
+    return _once(*_chains(w or Words(rows), chain, distance, anchors, None))[:2]
+
+
+def _chains(w: Words, chain: int, distance: int, anchors, logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, signature and commonness of every chain: the sum over its words of the logs of their counts."""
     common = np.unique(Words(pa.array(anchors)).hash)
     is_common = np.isin(w.hash, common)
     at, content = np.flatnonzero(is_common), np.flatnonzero(~is_common)
     first = np.searchsorted(content, at)
     ok = first + (chain - 1) * distance < len(content)
     at, first = at[ok], first[ok]
-    sig = w.hash[at].copy()
+    log = np.zeros(len(w.hash), np.int32) if logs is None else logs[_slot(w.hash)]
+    sig, much = w.hash[at].copy(), log[at].copy()
     for k in range(chain):
         word = content[first + k * distance]
         same = w.row[word] == w.row[at]
-        at, first, sig, word = at[same], first[same], sig[same], word[same]
+        at, first, sig, much, word = at[same], first[same], sig[same], much[same], word[same]
         sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + w.hash[word])
-    return _once(w.row[at], sig)
+        much += log[word]
+    return w.row[at], sig, much
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def _once(row: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _once(row: np.ndarray, sig: np.ndarray, much: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((sig, row))
-    row, sig = row[order], sig[order]
+    row, sig, much = row[order], sig[order], much[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (sig[1:] != sig[:-1])
-    return row[keep], sig[keep]
+    return row[keep], sig[keep], much[keep]
 
 
-def set_of(rows: pa.Array, p: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Row and member of each row's set: signatures, and words where these are few."""
+def set_of(rows: pa.Array, p: dict, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, member and commonness of each row's set: signatures, and words where these are few."""
     w = Words(rows)
-    row, sig = signatures(rows, p["chain"], p["distance"], w=w)
+    row, sig, much = _once(*_chains(w, p["chain"], p["distance"], tuple(ANCHORS), logs))
     if p["few"]:
         by_word = (np.bincount(row, minlength=len(rows)) < p["least"])[w.row]
-        row, sig = _once(np.concatenate((row, w.row[by_word])), np.concatenate((sig, mix(w.hash[by_word] ^ np.uint64(0xD6E8FEB86659FD93)))))
-    return row, sig
+        word = mix(w.hash[by_word] ^ np.uint64(0xD6E8FEB86659FD93))
+        log = np.zeros(len(word), np.int32) if logs is None else logs[_slot(w.hash[by_word])]
+        row, sig, much = _once(np.concatenate((row, w.row[by_word])), np.concatenate((sig, word)), np.concatenate((much, log)))
+    return row, sig, much
 
 
 def _least(p: dict) -> int:
@@ -100,124 +115,92 @@ def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null and text is not null")
 
 
-def _counts(docs: DataFrame, p: dict) -> np.ndarray:
-    """Signatures by the leading bits of their hash, over the whole corpus: a table of fixed size."""
+def word_logs(docs: DataFrame) -> np.ndarray:
+    """1024 times the log of the count of words by the leading bits of their hash, over the whole corpus.
+
+    A table of fixed size.  Tasks hand it on in RANGES parts, which as many tasks add up.
+    """
 
     def add(batches):
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for b in batches:
             for _, part in slices(b.column("text")):
-                total += np.bincount((set_of(part, p)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.record_batch([pa.array([total.tobytes()])], ["v"])
+                total += np.bincount(_slot(Words(part).hash), minlength=len(total))
+        parts = total.reshape(RANGES, -1)
+        yield pa.record_batch([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([x.tobytes() for x in parts])], ["k", "v"])
 
     def merge(batches):
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for v in b.column(0):
-                total += np.frombuffer(v.as_buffer(), np.int64)
-        yield pa.record_batch([pa.array([total.tobytes()])], ["v"])
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                total[k] = total.get(k, 0) + np.frombuffer(v.as_buffer(), np.int64)
+        for k, v in total.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([v.tobytes()])], ["k", "v"])
 
-    parts = _slim(docs).select("text").mapInArrow(add, "v binary").repartition(8).mapInArrow(merge, "v binary").collect()
-    return np.sum([np.frombuffer(r[0], np.int64) for r in parts], axis=0)
+    out = np.zeros((RANGES, (1 << COUNT_BITS) // RANGES), np.int64)
+    rows = _slim(docs).select("text").mapInArrow(add, "k int, v binary").repartition(RANGES, "k").mapInArrow(merge, "k int, v binary")
+    for r in rows.collect():
+        out[r["k"]] = np.frombuffer(r["v"], np.int64)
+    return np.round(np.log(np.maximum(out.ravel(), 1)) * 1024).astype(np.int32)
 
 
-def _prints(count, p: dict):
-    """A row for each document: both halves of its set's hash, size, sketch and rarest signatures."""
+def _prints(logs, p: dict):
+    """A row for each document: both halves of its set's hash, size and rarest members."""
 
     def run(b):
         for at, part in slices(b.column("text")):
-            row, sig = set_of(part, p)
+            row, sig, much = set_of(part, p, logs.value)
             size = np.bincount(row, minlength=len(part))
             enough = size >= _least(p)
             keep = enough[row]
-            row, sig = row[keep], sig[keep]
+            row, sig, much = row[keep], sig[keep], much[keep]
             size = size[enough]
             if not len(size):
                 continue
             begin = np.cumsum(size) - size
             doc = np.repeat(np.arange(len(size)), size)
-            rare = np.lexsort((sig, count.value[(sig >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], doc))
+            rare = np.lexsort((sig, much, doc))
             listed = size - np.ceil(p["tau"] * size - 1e-9).astype(np.int64) + 1
             first = (np.arange(len(sig)) - begin[doc]) < listed[doc]
-            sketch = np.zeros(len(size), np.uint64)
-            for k, t in enumerate(_TURNS):
-                sketch |= ((np.minimum.reduceat((sig ^ (sig >> np.uint64(31))) * t, begin) >> np.uint64(40)) & np.uint64(1)) << np.uint64(k)
             whole = [np.add.reduceat(mix(sig ^ np.uint64(x)), begin) for x in (0, 0xA0761D6478BD642F)]
             ids = b.column("doc_id").slice(at, len(part)).filter(pa.array(enough))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(listed))), pa.int32()), pa.array(as_long(sig[rare][first])))
-            yield pa.record_batch([ids, *(pa.array(as_long(x)) for x in (*whole, size.astype(np.uint64), sketch)), lists], ["doc_id", "h1", "h2", "size", "sketch", "listed"])
+            yield pa.record_batch([ids, *(pa.array(as_long(x)) for x in (*whole, size.astype(np.uint64))), lists], ["doc_id", "h1", "h2", "size", "listed"])
 
     return run
 
 
 def _sets(candidates, p: dict):
-    """doc_id and signatures of the documents that may be candidates, in 32 bits each."""
+    """doc_id and members of the documents that may be candidates."""
 
     def run(b):
+        b = b.filter(pa.array(candidates.value.passes(b.column("doc_id").to_numpy(zero_copy_only=False))))
         ids = b.column("doc_id")
-        if candidates is not None:
-            keep = pa.array(_passes(candidates.value, ids.to_numpy(zero_copy_only=False)))
-            b = b.filter(keep)
-            ids = b.column("doc_id")
         for at, part in slices(b.column("text")):
-            row, sig = set_of(part, p)
+            row, sig, _ = set_of(part, p)
             cut = np.searchsorted(row, np.arange(len(part) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(as_long(sig)))
             yield pa.record_batch([ids.slice(at, len(part)), lists], ["node", "sigs"]).filter(pa.array(np.diff(cut) >= _least(p)))
 
     return run
 
 
-def _bits_of(ids: np.ndarray, size: int) -> np.ndarray:
-    x = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    return (x[:, None] + (mix(x) | np.uint64(1))[:, None] * np.arange(5, dtype=np.uint64)) % np.uint64(size)
-
-
-def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _bits_of(ids, len(bits) * 8)
-    return ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
-
-
-def _filter_of(nodes: DataFrame):
-    """A Bloom filter of the ids, eight bits each, made in the tasks; None if it would be too large."""
-    size = max(1024, -(-nodes.count() // 64) * 64)
-    if size > MAX_FILTER_BYTES:
-        return None
-
-    def fill(batches):
-        bits = np.zeros(size * 8, bool)
-        for b in batches:
-            bits[_bits_of(b.column(0).to_numpy(zero_copy_only=False), size * 8).ravel()] = True
-        yield pa.record_batch([pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["v"])
-
-    parts = nodes.coalesce(4).mapInArrow(fill, "v binary").collect()
-    bits = np.zeros(size, np.uint8)
-    for r in parts:
-        bits |= np.frombuffer(r["v"], np.uint8)
-    return nodes.sparkSession.sparkContext.broadcast(bits)
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+def _reach(n: np.ndarray, place: np.ndarray, m: np.ndarray, places: np.ndarray, tau: float) -> np.ndarray:
+    """Whether sets of n and m members with a common one at these places can be similar enough."""
+    return (np.minimum(n, m) >= tau * np.maximum(n, m) - 1e-9) & (np.minimum(n - place, m - places) >= np.ceil(tau / (1 + tau) * (n + m) - 1e-9))
 
 
-def _near(size, place, sketch, x, others, tau):
-    n, m = size[x], size[others]
-    low, high = np.minimum(n, m), np.maximum(n, m)
-    need = np.ceil(tau / (1 + tau) * (n + m) - 1e-9)
-    bound = np.minimum(n - place[x], m - place[others])
-    ok = (low >= tau * high - 1e-9) & (bound >= need)
-    ok[ok] = np.bitwise_count(sketch[others[ok]] ^ sketch[x]) <= 64 - SKETCH_LEAST
-    return ok
-
-
-def _forest(size, place, sketch, tau) -> list[tuple[int, int]]:
+def _forest(size: np.ndarray, place: np.ndarray, tau: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be similar enough; rows are sorted by size."""
     edges, rest = [], np.arange(len(size))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            ok = _near(size, place, sketch, x, rest, tau)
+            lo, hi = np.searchsorted(size[rest], [tau * size[x] - 1e-6, size[x] / tau + 1e-6])
+            near = rest[lo:hi]
+            ok = np.zeros(len(rest), bool)
+            ok[lo:hi] = _reach(size[x], place[x], size[near], place[near], tau)
             hit, rest = rest[ok], rest[~ok]
             edges += [(x, y) for y in hit]
             queue += list(hit)
@@ -241,89 +224,109 @@ def runs(batches, key: int = 0):
         yield pa.Table.from_batches([p[1] for p in parts]).combine_chunks()
 
 
+def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    change = np.flatnonzero(key[1:] != key[:-1]) + 1
+    return np.concatenate(([0], change)), np.append(change, len(key))
+
+
+_MET = "pair boolean, key bigint, a bigint, b bigint"
+
+
 def _candidates(tau: float):
+    """Pairs to decide, and the rows of every key that three or more sets share."""
+
     def run(batches):
         for t in runs(batches):
             if not t.num_rows:
                 continue
-            key, node, size, sketch = (t.column(k).to_numpy() for k in range(4))
-            size, place, sketch = size >> 32, size & 0xFFFFFFFF, sketch.view(np.uint64)
-            change = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate(([0], change)), np.append(change, len(key))
-            a, b = [], []
+            key, node, packed = (t.column(k).to_numpy() for k in range(3))
+            size, place = packed >> 32, packed & 0xFFFFFFFF
+            starts, ends = _cuts(key)
+            keys, a, b = [], [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                for x, y in _forest(size[s:e], place[s:e], sketch[s:e], tau):
+                if pairs := _forest(size[s:e], place[s:e], tau):
+                    x, y = np.array(pairs).T
+                    keys.append(np.full(len(x), key[s]))
                     a.append(node[s + x])
                     b.append(node[s + y])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if keys:
+                keys, a, b = (np.concatenate(x) for x in (keys, a, b))
+                yield pa.record_batch([pa.array(np.ones(len(a), bool)), pa.array(keys), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["pair", "key", "a", "b"])
+            many = np.repeat(ends - starts > 2, ends - starts)
+            if many.any():
+                yield pa.record_batch([pa.array(np.zeros(int(many.sum()), bool)), *(pa.array(x[many]) for x in (key, node, packed))], ["pair", "key", "a", "b"])
 
     return run
 
 
-def exact_groups(size: np.ndarray, sig: np.ndarray, tau: float) -> np.ndarray:
-    """The group number of each set, by exact Jaccard over the lists of each signature."""
-    n = len(size)
-    code = np.unique(sig, return_inverse=True)[1]
-    owner = np.repeat(np.arange(n), size)
-    order = np.argsort(code, kind="stable")
-    listed = np.searchsorted(code[order], np.arange(code.max() + 2))
-    begin = np.cumsum(size) - size
-    group = np.full(n, -1)
-    for seed in range(n):
-        if group[seed] >= 0:
-            continue
-        group[seed], queue = seed, [seed]
-        while queue:
-            if (group >= 0).all():
-                break
-            x = queue.pop()
-            mine = code[begin[x] : begin[x] + size[x]]
-            other = owner[order[np.concatenate([np.arange(listed[c], listed[c + 1]) for c in mine])]]
-            both = np.bincount(other, minlength=n)
-            hit = np.flatnonzero((both >= tau * (size + size[x] - both) - 1e-9) & (group < 0))
-            group[hit] = seed
-            queue += list(hit)
-    return group
+def _between(tau: float):
+    """All pairs under one key that may be similar enough and are of different groups."""
 
-
-def _verify(tau: float):
     def run(batches):
         for t in runs(batches):
             if not t.num_rows:
                 continue
-            root = t.column("root").to_numpy()
-            change = np.flatnonzero(root[1:] != root[:-1]) + 1
-            out = []
-            for s, e in zip(np.concatenate(([0], change)), np.append(change, len(root))):
-                part = t.slice(s, e - s).combine_chunks()
-                node = part.column("node").to_numpy()
-                size, sig = _flat(part.column("sigs").chunk(0))
-                group = exact_groups(size, sig, tau)
-                low = np.full(len(node), np.iinfo(np.int64).max)
-                np.minimum.at(low, group, node)
-                out.append((node, low[group]))
-            node, low = (np.concatenate(x) for x in zip(*out))
-            yield pa.record_batch([pa.array(node), pa.array(low)], ["node", "low"]).filter(pa.array(node != low))
+            key, node, packed, group = (t.column(k).to_numpy() for k in range(4))
+            size, place = packed >> 32, packed & 0xFFFFFFFF
+            out, held = [], 0
+            for s, e in zip(*_cuts(key)):
+                for x in range(s, e - 1):
+                    # lengths rise, so the shorter ones have met x before
+                    z = x + 1 + int(np.searchsorted(size[x + 1 : e], size[x] / tau + 1e-6))
+                    y = np.arange(x + 1, z)
+                    y = y[(group[y] != group[x]) & _reach(size[x], place[x], size[y], place[y], tau)]
+                    if len(y):
+                        out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
+                        held += len(y)
+                        if held > HELD:
+                            yield _pairs(out)
+                            out, held = [], 0
+            if out:
+                yield _pairs(out)
 
     return run
 
 
-def near_copies(docs: DataFrame, **params) -> DataFrame:
+def _pairs(out: list) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*out))
+    return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _decide(pairs: DataFrame, sets: DataFrame, tau: float) -> DataFrame:
+    """a, b and whether the sets' exact Jaccard reaches tau."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("sigs").alias("x")), sets.select(F.col("node").alias("b"), F.col("sigs").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    every = F.size("x") + F.size("y") - F.col("both")
+    return met.select("a", "b", (F.col("both") >= F.lit(tau) * every - 1e-9).alias("near"))
+
+
+def near_copies(docs: DataFrame, most: int = MOST, **params) -> DataFrame:
     """(doc_id, kept_doc_id) of each document that is a near copy of one that stays."""
     p = PARAMS | params
-    slim = _slim(docs)
-    # a table of fixed size, whatever the corpus
-    count = docs.sparkSession.sparkContext.broadcast(_counts(docs, p))
-    prints = map_arrow(slim, _prints(count, p), "doc_id bigint, h1 bigint, h2 bigint, size bigint, sketch bigint, listed array<bigint>")
-    marked = prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-    marked = materialize(marked.select("doc_id", "node", "size", "sketch", F.when(F.col("doc_id") == F.col("node"), F.col("listed")).alias("listed")), "prints")
-    rows = marked.select("node", "size", "sketch", F.posexplode("listed").alias("place", "key"))
-    rows = rows.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("size"), "sketch")
-    edges = rows.repartition("key").sortWithinPartitions("key", "size").mapInArrow(_candidates(p["tau"]), "a bigint, b bigint")
-    roots = components(edges)
-    roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "groups")
-    sets = map_arrow(slim, _sets(_filter_of(roots.select("node")), p), "node bigint, sigs array<int>")
-    met = sets.join(roots, "node").select("root", "node", "sigs").repartition("root").sortWithinPartitions("root")
-    low = met.mapInArrow(_verify(p["tau"]), "node bigint, low bigint").groupBy("node").agg(F.min("low").alias("low"))
-    out = marked.select("doc_id", "node").join(low, "node", "left").select("doc_id", F.coalesce("low", "node").alias("kept_doc_id"))
-    return out.filter("doc_id <> kept_doc_id").distinct()
+    slim, spark, tau = _slim(docs), docs.sparkSession, p["tau"]
+    with Passing(spark) as passing:
+        # a table of fixed size, whatever the corpus
+        logs = spark.sparkContext.broadcast(word_logs(docs))
+        prints = map_arrow(slim, _prints(logs, p), "doc_id bigint, h1 bigint, h2 bigint, size bigint, listed array<bigint>")
+        marked = prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+        marked = materialize(marked.select("doc_id", "node", "size", F.when(F.col("doc_id") == F.col("node"), F.col("listed")).alias("listed")), "prints")
+        rows = marked.select("node", "size", F.posexplode("listed").alias("place", "key"))
+        rows = rows.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("size"))
+        n = marked.filter("listed is not null").count()  # no key has more rows
+        met = in_blocks(rows, n, most).repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_candidates(tau), _MET)
+        met = materialize(met, "met")
+        pairs = met.filter("pair and a <> b").select("key", "a", "b")
+        ids = met.select(F.explode(F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("a"))).alias("x")).distinct()
+        shared = spark.sparkContext.broadcast(bloom.build(ids, ids.count()))  # at most bloom.MAX_BYTES
+        sets = materialize(map_arrow(slim, _sets(shared, p), "node bigint, sigs array<bigint>"), "sets")
+        decided = materialize(_decide(pairs.select("a", "b").distinct(), sets, tau), "decided")
+        links = decided.filter("near").select("a", "b")
+        roots = materialize(components(links), "groups")
+        doubtful = pairs.join(decided.filter("not near"), ["a", "b"]).select("key").distinct()
+        again = met.filter("not pair").select("key", F.col("a").alias("node"), F.col("b").alias("size")).join(doubtful, "key", "left_semi")
+        again = again.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("group"))
+        more = again.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_between(tau), "a bigint, b bigint").distinct()
+        more = _decide(more.join(decided, ["a", "b"], "left_anti"), sets, tau).filter("near").select("a", "b")
+        low = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        out = marked.select("doc_id", "node").join(low, "node", "left").select("doc_id", F.coalesce("root", "node").alias("kept_doc_id"))
+        return passing.keep(out.filter("doc_id <> kept_doc_id").distinct(), "near")

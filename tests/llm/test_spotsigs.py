@@ -1,7 +1,7 @@
 import random
-from collections import defaultdict
 
 import pyarrow as pa
+import pytest
 from spanlab.llm import spotsigs as S
 
 
@@ -69,5 +69,37 @@ def test_groups_of_near_copies_and_odd_rows(spark):
     assert sorted((r.doc_id, r.kept_doc_id) for r in S.near_copies(docs).collect()) == brute(rows)
 
 
+def near_threshold(rng):
+    """Pairs whose similarity lies about every threshold, and a chain of ever more distant copies."""
+    words, rows = [f"w{k}" for k in range(3000)], []
+    for g in range(60):
+        base = [x for _ in range(rng.randint(8, 60)) for x in (rng.choice(("the", "of", "and")), rng.choice(words), rng.choice(words))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(rng.randint(1, 4)):
+            copy = list(base)
+            for _ in range(int(len(base) * rng.random() * 0.4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+            if rng.random() < 0.4:
+                base = copy
+    return rows
+
+
+@pytest.mark.parametrize("tau, most", [(0.3, S.MOST), (0.5, 2), (0.7, S.MOST), (0.9, S.MOST)])
+def test_no_pair_about_the_threshold_is_lost(spark, tau, most):
+    rows = near_threshold(random.Random(round(tau * 10)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, tau)
+    assert len(want) > 10 and sorted((r.doc_id, r.kept_doc_id) for r in S.near_copies(docs, tau=tau, most=most).collect()) == want
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(1)
+    base = [rng.choice(["the", "of", *(f"w{k}" for k in range(500))]) for _ in range(60_000)]
+    copy = [x if rng.random() > 0.01 else "other" for x in base]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(base[:20_000]))]
+    assert sorted((r.doc_id, r.kept_doc_id) for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows) == [(2, 1)]
+
+
 def test_empty_table(spark):
     assert S.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
