@@ -6,9 +6,13 @@ so on until none is left over.  A key's depth of passing levels then tells exact
 every key of the universe, whether it is listed.
 
 Keys are two 64-bit hashes.  The universe is split into shards by hash, each built in one
-task of bounded size, so building scales with the cluster.  Looking up needs no join: up to
-``max_broadcast_bytes`` the cascade is broadcast; beyond it, it stays in the shared folder
-and the keys are brought together by shard, so that each task reads one shard at a time.
+task of bounded size, so building scales with the cluster.  Looking up needs no join and no
+shuffle at any size: shards are gathered to packs of at most ``max_broadcast_bytes`` (one
+shard at least, which is bounded by ``shard_keys``), each pack is broadcast, and the rows
+whose key is of its shards are looked up in it; the packs' rows together are all rows.
+
+Without a list of keys, a key is listed whose host has one of LISTED_LABELS as a label, cut
+at dots and hyphens ('ads' in 'ads-track.example.com', not in 'uploads.example.com').
 
 A URL's key is its host and path in lower case, without scheme, user, port, 'www.' or 'm.',
 query, fragment and closing slashes.  Defined results: a null or empty URL has a null key
@@ -18,7 +22,8 @@ no part; empty tables give empty results or false.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
+import functools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, shared_folder
+from .common import discard, map_arrow, materialize
 from .textkernel import mix
 
 PARAMS = {"shard_keys": 500_000, "max_broadcast_bytes": 32 << 20, "first_rate": 0.25, "rate": 0.5}
-LISTED_WORDS = ("casino", "bets", "adult", "xxx", "porn", "gambl", "lottery", "pills", "warez")
+LISTED_LABELS = ("ads", "adult", "bets", "casino", "gambling", "lottery", "pills", "porn", "track", "warez", "xxx")
 
 
 def key_of(url: Column) -> Column:
@@ -43,6 +48,10 @@ def key_of(url: Column) -> Column:
     return F.nullif(F.concat(host, path), F.lit(""))
 
 
+def label_rule(labels: tuple[str, ...]) -> str:
+    return f"(^|[.-])({'|'.join(map(re.escape, labels))})([.-]|$)"
+
+
 def host_of(key: Column) -> Column:
     return F.regexp_extract(key, r"^([^/]*)", 1)
 
@@ -101,10 +110,10 @@ def contains(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Cascade:
     shards: int
-    #: levels by shard, or None if they are too large to broadcast
-    levels: dict | None
-    path: str
-    bytes: int
+    #: the shards of each pack
+    packs: tuple[tuple[int, ...], ...]
+    #: table of the levels
+    made: DataFrame
 
 
 def _shard(shards: int) -> Column:
@@ -146,12 +155,16 @@ def cascade(universe: DataFrame, **params) -> Cascade:
 
     # one partition a shard, so a task holds one shard at a time (two or more where hashes meet)
     rows = keys.withColumn("shard", _shard(shards)).repartition(shards, "shard").select("shard", "a", "b", "listed")
-    path = f"{shared_folder(spark)}/llm-cascade-{uuid.uuid4().hex}"
-    rows.mapInArrow(make, "shard int, n int, size bigint, hashes int, bits binary").write.parquet(path)
-    made = spark.read.schema("shard int, n int, size bigint, hashes int, bits binary").parquet(path)
-    size = made.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    small = size <= p["max_broadcast_bytes"]
-    return Cascade(shards, _levels([tuple(r) for r in made.collect()]) if small else None, path, size)
+    made = materialize(rows.mapInArrow(make, "shard int, n int, size bigint, hashes int, bits binary"), "cascade")
+    discard(keys)
+    packs, room = [[]], p["max_broadcast_bytes"]
+    for r in made.groupBy("shard").agg(F.sum(F.length("bits")).alias("n")).orderBy("shard").toLocalIterator():
+        if packs[-1] and room < r["n"]:
+            packs.append([])
+            room = p["max_broadcast_bytes"]
+        packs[-1].append(r["shard"])
+        room -= r["n"]
+    return Cascade(shards, tuple(map(tuple, packs)), made)
 
 
 def mark(rows: DataFrame, c: Cascade) -> DataFrame:
@@ -162,60 +175,38 @@ def mark(rows: DataFrame, c: Cascade) -> DataFrame:
     null = f"c{names.index('key')}"
     schema = ", ".join(f"c{k} {t}" for k, (_, t) in enumerate(rows.dtypes)) + ", listed boolean"
 
-    def look(b, levels):
-        a, z = (b.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("a", "b"))
-        shard = b.column("shard").to_numpy(zero_copy_only=False)
-        out = np.zeros(len(a), bool)
-        for s in np.unique(shard):
-            at = np.flatnonzero(shard == s)
-            out[at] = contains(levels(int(s)), a[at], z[at])
-        out[np.asarray(b.column(null).is_null())] = False
-        return pa.record_batch([*b.columns[: len(names)], pa.array(out)], [*[f"c{k}" for k in range(len(names))], "listed"])
-
-    if c.levels is not None:
-        shared = spark.sparkContext.broadcast(c.levels)  # at most max_broadcast_bytes
+    def looked(some: DataFrame, shards: tuple[int, ...]) -> DataFrame:
+        levels = c.made.filter(F.col("shard").between(shards[0], shards[-1])).collect() if shards else []
+        shared = spark.sparkContext.broadcast(_levels([tuple(r) for r in levels]))  # a pack, so at most max_broadcast_bytes
 
         def run(b):
-            yield look(b, lambda s: shared.value.get(s, []))
-
-        out = map_arrow(hashed, run, schema)
-    else:
-        made = spark.read.schema("shard int, n int, size bigint, hashes int, bits binary").parquet(c.path)
-        levels = made.select("shard", F.struct("n", "size", "hashes", "bits").alias("x")).groupBy("shard").agg(F.sort_array(F.collect_list("x")).alias("levels"))
-
-        made_of = _schema(schema)
-
-        def group(left: pa.Table, right: pa.Table) -> pa.Table:
-            held = [Level(np.frombuffer(x["bits"], np.uint8), x["size"], x["hashes"]) for levels in right.column("levels").to_pylist() for x in levels]
-            return pa.Table.from_batches([look(b, lambda s: held) for b in left.to_batches()]).cast(made_of) if left.num_rows else made_of.empty_table()
-
-        # keys of a shard are spread over partitions by their own hash; only the levels are copied
-        spread = 8
-        left = hashed.withColumn("spread", F.pmod("b", F.lit(spread)).cast("int"))
-        right = levels.select("shard", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("spread"), "levels")
-        out = left.groupBy("shard", "spread").cogroup(right.groupBy("shard", "spread")).applyInArrow(group, schema)
-    return out.toDF(*names, "listed")
-
+            a, z = (b.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("a", "b"))
+            shard = b.column("shard").to_numpy(zero_copy_only=False)
+            out = np.zeros(len(a), bool)
+            for s in np.unique(shard):
+                at = np.flatnonzero(shard == s)
+                out[at] = contains(shared.value.get(int(s), []), a[at], z[at])
+            out[np.asarray(b.column(null).is_null())] = False
+            yield pa.record_batch([*b.columns[: len(names)], pa.array(out)], [*[f"c{k}" for k in range(len(names))], "listed"])
 
-def _schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+        return map_arrow(some, run, schema)
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    # a pack takes the shards from its first to before the next pack's first, so no row is left out
+    ends = [pack[0] for pack in c.packs[1:]] + [c.shards]
+    begins = [0, *ends[:-1]]
+    parts = [looked(hashed.filter((F.col("shard") >= x) & (F.col("shard") < y)) if len(c.packs) > 1 else hashed, pack) for pack, x, y in zip(c.packs, begins, ends)]
+    return functools.reduce(DataFrame.unionByName, parts).toDF(*names, "listed")
 
 
-def listed_pages(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, listed: DataFrame | None = None, **params) -> DataFrame:
+def listed_pages(pages: DataFrame, labels: tuple[str, ...] = LISTED_LABELS, listed: DataFrame | None = None, **params) -> DataFrame:
     """page_id, key and listed of each page.
 
     ``listed`` has a column ``key`` of listed keys; without it, those are the keys of the
-    corpus whose host has one of ``words``.
+    corpus whose host has one of ``labels``.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), key_of(pages["url"]).alias("key"))
     if listed is None:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | host_of(F.col("key")).contains(w)
-        universe = rows.select("key", hit.alias("listed"))
+        universe = rows.select("key", host_of(F.col("key")).rlike(label_rule(labels)).alias("listed"))
     else:
         known = listed.select(F.col("key"), F.lit(True).alias("listed"))
         # listed keys that the corpus lacks fall away: the universe is that of the corpus
@@ -224,10 +215,9 @@ def listed_pages(pages: DataFrame, words: tuple[str, ...] = LISTED_WORDS, listed
     return mark(rows, cascade(universe, **params))
 
 
-def pages_sql(words: tuple[str, ...] = LISTED_WORDS) -> str:
-    any_word = " OR ".join(f"contains(regexp_extract(key, '^([^/]*)', 1), '{w}')" for w in words)
+def pages_sql(labels: tuple[str, ...] = LISTED_LABELS) -> str:
     return f"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[?#].*$', '') AS b FROM pages),
 parts AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(b, '^([^/]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^(www|m)\\.', '') AS host,
   regexp_replace(regexp_extract(b, '^[^/]*(.*)$', 1), '/+$', '') AS path FROM bare),
 keyed AS (SELECT page_id, nullif(host || path, '') AS key FROM parts)
-SELECT page_id, key, coalesce({any_word}, false) AS listed FROM keyed"""
+SELECT page_id, key, coalesce(regexp_matches(regexp_extract(key, '^([^/]*)', 1), '{label_rule(labels)}'), false) AS listed FROM keyed"""

@@ -22,11 +22,17 @@ def test_sharded_lookup_equals_broadcast(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, listed string")
     keys = spark.createDataFrame([("host5.example/5",), ("host1.example/1",), ("absent.example",), (None,)], "key string")
     want = sorted(((i, k, k in ("host5.example/5", "host1.example/1")) for i, k in U.listed_pages(pages, listed=keys).select("page_id", "key").collect()), key=repr)
-    for params in ({}, {"max_broadcast_bytes": 0, "shard_keys": 200}, {"shard_keys": 200}):
+    for params in ({}, {"max_broadcast_bytes": 100, "shard_keys": 50}, {"shard_keys": 200}):
         assert sorted((tuple(r) for r in U.listed_pages(pages, listed=keys, **params).collect()), key=repr) == want
     assert sum(r[2] for r in want) >= 3
 
 
+def test_labels_not_parts_of_words_and_long_urls(spark):
+    urls = ["http://ads-track.example.com/x", "http://uploads.example.com/x", "http://www.casino.example/y", "http://alphabets.example", "http://a.example/" + "p" * 200_000, "http://example.com/casino/"]
+    got = {r.page_id: r.listed for r in U.listed_pages(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: False, 5: False}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert U.listed_pages(none).collect() == []
