@@ -2,8 +2,11 @@
 
 Training counts byte trigrams inside words (with their edges) for each label in ``lang``,
 over all documents that have one; a trigram's probability is its share under its first two
-bytes, mixed with a uniform floor.  A word's likelihood under a language is the product
-over its trigrams.
+bytes, mixed with a uniform floor, which is all that an unseen trigram has.  A word's
+likelihood under a language is the product over its trigrams.  The model holds the most
+frequent trigrams of each language, as many as ``model_bytes`` has room for (all of them
+unless there are many languages), so what is collected and broadcast is bounded for any
+number of languages.
 
 Inference treats a document's words as drawn from a mixture of languages.  The set starts
 as the single best language; in each round expectation-maximisation fits the shares with
@@ -26,87 +29,156 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
-from .textkernel import Words, slices
+from .common import discard, map_arrow, materialize
+from .textkernel import Words, mix, slices
 
-PARAMS = {"floor": 0.02, "base": 4.0, "slope": 2.0, "iterations": 15, "max_languages": 400}
-CONTEXT_BITS = 12
-SIZE = 1 << (CONTEXT_BITS + 7)
+PARAMS = {"floor": 0.02, "base": 4.0, "slope": 2.0, "iterations": 15, "model_bytes": 48 << 20}
+#: a trigram of the model: code, language and log-probability over the floor's
+ENTRY_BYTES = 12
+#: codes of a language are added up in so many ranges; a range holds whole contexts
+RANGES, CODES = 16, 1 << 24
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    #: log-probability of each trigram slot under each language
-    table: np.ndarray
+    #: sorted codes that any language has; the entries of code k are first[k] to first[k + 1]
+    codes: np.ndarray
+    first: np.ndarray
+    #: language of each entry, and by how much its log-probability is above that of an unseen trigram
+    language: np.ndarray
+    over: np.ndarray
+    #: log-probability of an unseen trigram
+    unseen: float
 
 
-def trigrams(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of each trigram, and where each word's begin; a word of n bytes has n + 1."""
-    size = w.end - w.start + 1
+def trigrams(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each trigram of some words, and which of these words it is of; a word of n bytes has n + 1."""
+    start, end = w.start[words], w.end[words]
+    size = end - start + 1
     begin = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(begin, size)
-    at = np.repeat(w.start, size) + place
-    data = np.append(w.data, np.uint8(32)).astype(np.uint32)
+    at = np.repeat(start, size) + place
+    data = np.append(w.data, np.uint8(32)).astype(np.int64)
     last = place == np.repeat(size - 1, size)
     one = np.where(place > 0, data[at - 1], 32)
     two = np.where(place > 1, data[at - 2], 32)
     byte = np.where(last, 32, data[at])
-    context = ((two << 8 | one).astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(32 - CONTEXT_BITS)
-    return (context << np.uint32(7) | (byte & 127)).astype(np.int64), begin
+    return two << 16 | one << 8 | byte, np.repeat(np.arange(len(words)), size)
+
+
+def _tally(w: Words, label: np.ndarray, labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """label * CODES + code of each trigram, and how often it stands; each distinct word is taken apart once."""
+    key = w.hash ^ mix(label.astype(np.uint64) + np.uint64(1))
+    _, one, n = np.unique(key, return_index=True, return_counts=True)
+    code, word = trigrams(w, one)
+    both = label[one][word] * CODES + code
+    seen, at = np.unique(both, return_inverse=True)
+    return seen, np.bincount(at, n[word]).astype(np.int64)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = (np.concatenate(x) for x in zip(*parts))
+    seen, at = np.unique(code, return_inverse=True)
+    return seen, np.bincount(at, n, len(seen)).astype(np.int64)
 
 
 def fit(docs: DataFrame, **params) -> Model:
-    """Counts over all labelled documents; one vector of fixed size for each language and task."""
+    """Counts over all labelled documents, by trigrams that occur; added up by language and range."""
     p = PARAMS | params
     labelled = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].alias("text")).filter("lang <> '' and text is not null")
+    kind, names = "lang string, part int, code binary, n binary", ["lang", "part", "code", "n"]
 
-    def vectors(total: dict):
-        for lang, v in total.items():
-            yield pa.record_batch([pa.array([lang]), pa.array([v.tobytes()], pa.large_binary()).cast(pa.binary())], ["lang", "v"])
+    def row(lang: str, part: int, code: np.ndarray, n: np.ndarray):
+        return pa.record_batch([pa.array([lang]), pa.array([part], pa.int32()), pa.array([code.astype(np.int32).tobytes()]), pa.array([n.astype(np.int64).tobytes()])], names)
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
         for b in batches:
             for at, part in slices(b.column("text")):
                 w = Words(part)
-                slot, begin = trigrams(w)
-                names = b.column("lang").slice(at, len(part)).dictionary_encode()
-                code = names.indices.to_numpy()[np.repeat(w.row, np.diff(np.append(begin, len(slot))))]
-                for k, lang in enumerate(names.dictionary.to_pylist()):
-                    total.setdefault(lang, np.zeros(SIZE, np.int64))
-                    total[lang] += np.bincount(slot[code == k], minlength=SIZE)
-        yield from vectors(total)
-
-    def merge(batches):
-        total: dict[str, np.ndarray] = {}
+                if not len(w.hash):
+                    continue
+                labels = b.column("lang").slice(at, len(part)).dictionary_encode()
+                seen, n = _tally(w, labels.indices.to_numpy()[w.row].astype(np.int64), len(labels.dictionary))
+                for k, lang in enumerate(labels.dictionary.to_pylist()):
+                    x, y = np.searchsorted(seen, [k * CODES, (k + 1) * CODES])
+                    mine = held.setdefault(lang, [])
+                    mine.append((seen[x:y] - k * CODES, n[x:y]))
+                    if len(mine) > 32:
+                        held[lang] = [_added(mine)]
+        for lang, mine in held.items():
+            code, n = _added(mine)
+            cut = np.searchsorted(code, np.arange(RANGES + 1) * (CODES // RANGES))
+            for r in range(RANGES):
+                if cut[r] < cut[r + 1]:
+                    yield row(lang, r, code[cut[r] : cut[r + 1]], n[cut[r] : cut[r + 1]])
+
+    def add(batches):
+        """One row for each language and range: its trigrams, and the log-probability of each over an unseen one's."""
+        held: dict[tuple, list] = {}
         for b in batches:
-            for lang, v in zip(b.column("lang").to_pylist(), b.column("v")):
-                total[lang] = total.get(lang, 0) + np.frombuffer(v.as_buffer(), np.int64)
-        yield from vectors(total)
-
-    summed = labelled.mapInArrow(count, "lang string, v binary").repartition("lang").mapInArrow(merge, "lang string, v binary")
-    got = sorted((r["lang"], r["v"]) for r in summed.limit(p["max_languages"] + 1).collect())
-    if len(got) > p["max_languages"]:
-        raise ValueError(f"more than {p['max_languages']} languages")
-    table = np.zeros((SIZE, len(got)), np.float32)
-    for k, (_, v) in enumerate(got):
-        n = np.frombuffer(v, np.int64).reshape(-1, 128)
-        share = n / np.maximum(n.sum(1, keepdims=True), 1)
-        table[:, k] = np.log((1 - p["floor"]) * share + p["floor"] / 128).ravel()
-    return Model(tuple(lang for lang, _ in got), table)
+            for lang, part, code, n in zip(*(b.column(x).to_pylist() for x in names)):
+                mine = held.setdefault((lang, part), [])
+                mine.append((np.frombuffer(code, np.int32).astype(np.int64), np.frombuffer(n, np.int64)))
+                if len(mine) > 32:
+                    held[lang, part] = [_added(mine)]
+        for (lang, part), mine in held.items():
+            yield row(lang, part, *_added(mine))
+
+    summed = materialize(labelled.mapInArrow(count, kind).repartition("lang", "part").mapInArrow(add, kind), "trigrams")
+    languages = sorted(r[0] for r in summed.select("lang").distinct().collect())
+    room = p["model_bytes"] // (ENTRY_BYTES * max(1, len(languages)))
+    low = np.log(p["floor"] / 256)
+
+    def best(batches):
+        """The most frequent trigrams of each language, ties by code, with what they are worth."""
+        held: dict[str, list] = {}
+        for b in batches:
+            for lang, code, n in zip(*(b.column(x).to_pylist() for x in ("lang", "code", "n"))):
+                code, n = np.frombuffer(code, np.int32).astype(np.int64), np.frombuffer(n, np.int64)
+                _, context = np.unique(code >> 8, return_inverse=True)
+                over = np.log((1 - p["floor"]) * n / np.bincount(context, n)[context] + p["floor"] / 256) - low
+                mine = held.setdefault(lang, [])
+                mine.append((code, n, over))
+                held[lang] = [_top(mine, room)]
+        for lang, mine in held.items():
+            code, _, over = _top(mine, room)
+            yield pa.record_batch([pa.array([lang]), pa.array([code.astype(np.int32).tobytes()]), pa.array([over.astype(np.float32).tobytes()])], ["lang", "code", "over"])
+
+    got = {r["lang"]: r for r in summed.repartition("lang").mapInArrow(best, "lang string, code binary, over binary").collect()}
+    discard(summed)
+    code = [np.frombuffer(got[x]["code"], np.int32) for x in languages] or [np.zeros(0, np.int32)]
+    over = [np.frombuffer(got[x]["over"], np.float32) for x in languages] or [np.zeros(0, np.float32)]
+    language = np.repeat(np.arange(len(code), dtype=np.int32), [len(c) for c in code])
+    code, over = np.concatenate(code), np.concatenate(over)
+    order = np.lexsort((language, code))
+    codes, first = np.unique(code[order], return_index=True)
+    return Model(tuple(languages), codes, np.append(first, len(code)), language[order], over[order], float(low))
+
+
+def _top(parts: list, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, n, over = (np.concatenate(x) for x in zip(*parts))
+    keep = np.lexsort((code, -n))[:room]
+    return code[keep], n[keep], over[keep]
 
 
 def word_scores(model: Model, w: Words) -> np.ndarray:
-    """Log-likelihood of each word under each language."""
-    slot, begin = trigrams(w)
-    out = np.empty((len(begin), len(model.languages)), np.float32)
-    step = 1 << 18  # words at a time: bounded memory for a very long text
-    ends = np.append(begin, len(slot))
-    for a in range(0, len(begin), step):
-        b = min(len(begin), a + step)
-        out[a:b] = np.add.reduceat(model.table[slot[ends[a] : ends[b]]], begin[a:b] - begin[a], axis=0)
-    return out
+    """Log-likelihood of each word under each language; each distinct word is looked at once."""
+    _, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    out, languages = np.empty((len(one), len(model.languages)), np.float32), len(model.languages)
+    step = 1 << 15  # distinct words at a time: bounded memory for a very long text
+    for a in range(0, len(one), step):
+        code, word = trigrams(w, one[a : a + step])
+        n = len(one[a : a + step])
+        at = np.minimum(np.searchsorted(model.codes, code), max(0, len(model.codes) - 1))
+        known = model.codes[at] == code if len(model.codes) else np.zeros(len(code), bool)
+        at, some = at[known], word[known]
+        many = model.first[at + 1] - model.first[at]
+        entry = np.repeat(model.first[at] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        total = np.bincount(np.repeat(some, many) * languages + model.language[entry], model.over[entry], n * languages)
+        out[a : a + n] = total.reshape(n, languages) + np.bincount(word, minlength=n)[:, None] * model.unseen
+    return out[which]
 
 
 def _em(prob: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +238,7 @@ def infer(score: np.ndarray, size: np.ndarray, base: float, slope: float, iterat
 def identify(docs: DataFrame, model: Model, **params) -> DataFrame:
     """doc_id, lang (the largest share), languages and shares (four digits), largest first."""
     p = PARAMS | params
-    # languages times a table of fixed size; fit() bounds the number of languages
+    # fit() bounds the model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(b):
