@@ -11,9 +11,11 @@ of their sets is ``tau`` at least.
    corpus (a table of fixed size; the vocabulary hardly grows with it); sets that are similar
    enough share one of these.
 3. Under such a signature, sets are sorted by length and each is compared only with the part
-   of lengths that the threshold allows; the places of the signature bound the overlap.  Both
-   tests only drop pairs that can't reach the threshold.  A spanning forest of the pairs that
-   are left is kept, so thousands of near copies give a linear number of them.
+   of lengths that the threshold allows; the places of the signature bound the overlap, and so
+   does a bitmap of one or two bits a member: each member flips one bit, so bitmaps of sets
+   that differ in d members differ in d bits at most.  These tests only drop pairs that can't
+   reach the threshold.  A spanning forest of the pairs that are left is kept, so thousands of
+   near copies give a linear number of them.
 4. Each kept pair is decided by the exact Jaccard of the whole sets, 64 bits a member.  The
    sets are made from the text again, since that is cheaper than to keep them, and only those
    of candidates are shuffled: a Bloom filter of their ids drops most of the others.
@@ -144,8 +146,17 @@ def word_logs(docs: DataFrame) -> np.ndarray:
     return np.round(np.log(np.maximum(out.ravel(), 1)) * 1024).astype(np.int32)
 
 
+def bitmaps(doc: np.ndarray, sig: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of as many bits as the next power of two, 64 at least; a member flips a bit."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    odd = np.bincount(begin[doc] + (sig & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[x : x + n] for x, n in zip((begin >> 3).tolist(), (bits >> 3).tolist())]
+
+
 def _prints(logs, p: dict):
-    """A row for each document: both halves of its set's hash, size and rarest members."""
+    """A row for each document: both halves of its set's hash, size, bitmap and rarest members."""
 
     def run(b):
         for at, part in slices(b.column("text")):
@@ -165,7 +176,7 @@ def _prints(logs, p: dict):
             whole = [np.add.reduceat(mix(sig ^ np.uint64(x)), begin) for x in (0, 0xA0761D6478BD642F)]
             ids = b.column("doc_id").slice(at, len(part)).filter(pa.array(enough))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(listed))), pa.int32()), pa.array(as_long(sig[rare][first])))
-            yield pa.record_batch([ids, *(pa.array(as_long(x)) for x in (*whole, size.astype(np.uint64))), lists], ["doc_id", "h1", "h2", "size", "listed"])
+            yield pa.record_batch([ids, *(pa.array(as_long(x)) for x in (*whole, size.astype(np.uint64))), pa.array(bitmaps(doc, sig, size), pa.binary()), lists], ["doc_id", "h1", "h2", "size", "bits", "listed"])
 
     return run
 
@@ -190,17 +201,52 @@ def _reach(n: np.ndarray, place: np.ndarray, m: np.ndarray, places: np.ndarray,
     return (np.minimum(n, m) >= tau * np.maximum(n, m) - 1e-9) & (np.minimum(n - place, m - places) >= np.ceil(tau / (1 + tau) * (n + m) - 1e-9))
 
 
-def _forest(size: np.ndarray, place: np.ndarray, tau: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may be similar enough; rows are sorted by size."""
-    edges, rest = [], np.arange(len(size))
+class Bits:
+    """The bitmaps of some sets; sets of different lengths are compared in the bits of the shorter one."""
+
+    def __init__(self, rows: pa.Array):
+        rows = rows.cast(pa.large_binary())
+        offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+        self.words, self.begin = np.diff(offsets) >> 3, (offsets[:-1] - offsets[0]) >> 3
+        # each bitmap is some whole words of 64 bits
+        self.data = np.frombuffer(rows.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+
+    def _of(self, rows: np.ndarray, words: int, to: int) -> np.ndarray:
+        out = self.data[self.begin[rows][:, None] + np.arange(words)]
+        while out.shape[1] > to:
+            half = out.shape[1] // 2
+            out = out[:, :half] ^ out[:, half:]
+        return out
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """No more members than these are in only one of both sets."""
+        out, mine = np.zeros(len(others), np.int64), int(self.words[x])
+        words = self.words[others]
+        for n in np.unique(words).tolist():
+            at, to = np.flatnonzero(words == n), min(n, mine)
+            out[at] = np.bitwise_count(self._of(others[at], n, to) ^ self._of(np.array([x]), mine, to)).sum(1)
+        return out
+
+
+def _may(size, place, bits: Bits, x: int, others: np.ndarray, tau: float) -> np.ndarray:
+    ok = _reach(size[x], place[x], size[others], place[others], tau)
+    some = np.flatnonzero(ok)
+    if len(some):
+        both = size[x] + size[others[some]]
+        ok[some] = both - bits.apart(x, others[some]) >= 2 * np.ceil(tau / (1 + tau) * both - 1e-9)
+    return ok
+
+
+def _forest(size: np.ndarray, place: np.ndarray, bits: Bits, s: int, e: int, tau: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows s to e that may be similar enough; they are sorted by size."""
+    edges, rest = [], np.arange(s, e)
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
             lo, hi = np.searchsorted(size[rest], [tau * size[x] - 1e-6, size[x] / tau + 1e-6])
-            near = rest[lo:hi]
             ok = np.zeros(len(rest), bool)
-            ok[lo:hi] = _reach(size[x], place[x], size[near], place[near], tau)
+            ok[lo:hi] = _may(size, place, bits, x, rest[lo:hi], tau)
             hit, rest = rest[ok], rest[~ok]
             edges += [(x, y) for y in hit]
             queue += list(hit)
@@ -229,52 +275,55 @@ def _cuts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], change)), np.append(change, len(key))
 
 
-_MET = "pair boolean, key bigint, a bigint, b bigint"
+def _shared(batches):
+    """The rows of every key that two or more sets have."""
+    for t in runs(batches):
+        starts, ends = _cuts(t.column(0).to_numpy()) if t.num_rows else (np.zeros(0, np.int64),) * 2
+        if (many := np.repeat(ends - starts > 1, ends - starts)).any():
+            yield from t.filter(pa.array(many)).to_batches()
+
+
+def _columns(t: pa.Table):
+    key, node, place, size = (t.column(k).to_numpy() for k in ("key", "node", "place", "size"))
+    return key, node, place, size, Bits(t.column("bits").chunk(0))
 
 
 def _candidates(tau: float):
-    """Pairs to decide, and the rows of every key that three or more sets share."""
+    """Under each key the pairs to decide."""
 
     def run(batches):
         for t in runs(batches):
             if not t.num_rows:
                 continue
-            key, node, packed = (t.column(k).to_numpy() for k in range(3))
-            size, place = packed >> 32, packed & 0xFFFFFFFF
-            starts, ends = _cuts(key)
-            keys, a, b = [], [], []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                if pairs := _forest(size[s:e], place[s:e], tau):
-                    x, y = np.array(pairs).T
-                    keys.append(np.full(len(x), key[s]))
-                    a.append(node[s + x])
-                    b.append(node[s + y])
-            if keys:
-                keys, a, b = (np.concatenate(x) for x in (keys, a, b))
-                yield pa.record_batch([pa.array(np.ones(len(a), bool)), pa.array(keys), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["pair", "key", "a", "b"])
-            many = np.repeat(ends - starts > 2, ends - starts)
-            if many.any():
-                yield pa.record_batch([pa.array(np.zeros(int(many.sum()), bool)), *(pa.array(x[many]) for x in (key, node, packed))], ["pair", "key", "a", "b"])
+            key, node, place, size, bits = _columns(t)
+            keys, pairs = [], []
+            for s, e in zip(*_cuts(key)):
+                if found := _forest(size, place, bits, s, e, tau):
+                    pairs += found
+                    keys.append(np.full(len(found), key[s]))
+            if pairs:
+                a, b = node[np.array(pairs)].T
+                yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["key", "a", "b"])
 
     return run
 
 
 def _between(tau: float):
-    """All pairs under one key that may be similar enough and are of different groups."""
+    """Under each key all pairs that may be similar enough and are of different groups."""
 
     def run(batches):
         for t in runs(batches):
             if not t.num_rows:
                 continue
-            key, node, packed, group = (t.column(k).to_numpy() for k in range(4))
-            size, place = packed >> 32, packed & 0xFFFFFFFF
-            out, held = [], 0
+            key, node, place, size, bits = _columns(t)
+            group, out, held = t.column("group").to_numpy(), [], 0
             for s, e in zip(*_cuts(key)):
                 for x in range(s, e - 1):
                     # lengths rise, so the shorter ones have met x before
                     z = x + 1 + int(np.searchsorted(size[x + 1 : e], size[x] / tau + 1e-6))
                     y = np.arange(x + 1, z)
-                    y = y[(group[y] != group[x]) & _reach(size[x], place[x], size[y], place[y], tau)]
+                    y = y[group[y] != group[x]]
+                    y = y[_may(size, place, bits, x, y, tau)]
                     if len(y):
                         out.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])))
                         held += len(y)
@@ -300,6 +349,13 @@ def _decide(pairs: DataFrame, sets: DataFrame, tau: float) -> DataFrame:
     return met.select("a", "b", (F.col("both") >= F.lit(tau) * every - 1e-9).alias("near"))
 
 
+def _sets_of(slim: DataFrame, pairs: DataFrame, p: dict) -> DataFrame:
+    """The sets of the documents of the pairs, and of a few others."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    shared = slim.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))  # at most bloom.MAX_BYTES
+    return materialize(map_arrow(slim, _sets(shared, p), "node bigint, sigs array<bigint>"), "sets")
+
+
 def near_copies(docs: DataFrame, most: int = MOST, **params) -> DataFrame:
     """(doc_id, kept_doc_id) of each document that is a near copy of one that stays."""
     p = PARAMS | params
@@ -307,26 +363,29 @@ def near_copies(docs: DataFrame, most: int = MOST, **params) -> DataFrame:
     with Passing(spark) as passing:
         # a table of fixed size, whatever the corpus
         logs = spark.sparkContext.broadcast(word_logs(docs))
-        prints = map_arrow(slim, _prints(logs, p), "doc_id bigint, h1 bigint, h2 bigint, size bigint, listed array<bigint>")
+        prints = map_arrow(slim, _prints(logs, p), "doc_id bigint, h1 bigint, h2 bigint, size bigint, bits binary, listed array<bigint>")
         marked = prints.withColumn("node", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
-        marked = materialize(marked.select("doc_id", "node", "size", F.when(F.col("doc_id") == F.col("node"), F.col("listed")).alias("listed")), "prints")
-        rows = marked.select("node", "size", F.posexplode("listed").alias("place", "key"))
-        rows = rows.select("key", "node", (F.shiftleft("size", 32) + F.col("place")).alias("size"))
+        own = F.col("doc_id") == F.col("node")
+        marked = materialize(marked.select("doc_id", "node", "size", *(F.when(own, F.col(c)).alias(c) for c in ("bits", "listed"))), "prints")
+        rows = marked.select("node", F.posexplode("listed").alias("place", "key")).select("key", "node", "place")
         n = marked.filter("listed is not null").count()  # no key has more rows
-        met = in_blocks(rows, n, most).repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_candidates(tau), _MET)
+        met = in_blocks(rows, n, most).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key bigint, node bigint, place int")
         met = materialize(met, "met")
-        pairs = met.filter("pair and a <> b").select("key", "a", "b")
-        ids = met.select(F.explode(F.when(F.col("pair"), F.array("a", "b")).otherwise(F.array("a"))).alias("x")).distinct()
-        shared = spark.sparkContext.broadcast(bloom.build(ids, ids.count()))  # at most bloom.MAX_BYTES
-        sets = materialize(map_arrow(slim, _sets(shared, p), "node bigint, sigs array<bigint>"), "sets")
-        decided = materialize(_decide(pairs.select("a", "b").distinct(), sets, tau), "decided")
-        links = decided.filter("near").select("a", "b")
-        roots = materialize(components(links), "groups")
-        doubtful = pairs.join(decided.filter("not near"), ["a", "b"]).select("key").distinct()
-        again = met.filter("not pair").select("key", F.col("a").alias("node"), F.col("b").alias("size")).join(doubtful, "key", "left_semi")
-        again = again.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("group"))
-        more = again.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_between(tau), "a bigint, b bigint").distinct()
-        more = _decide(more.join(decided, ["a", "b"], "left_anti"), sets, tau).filter("near").select("a", "b")
-        low = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        about = marked.filter("bits is not null").select("node", "size", "bits")
+
+        def by_key(some: DataFrame) -> DataFrame:
+            return some.join(about, "node").repartition("key").sortWithinPartitions("key", "size", "node")
+
+        pairs = materialize(by_key(met).mapInArrow(_candidates(tau), "key bigint, a bigint, b bigint").filter("a <> b"), "pairs")
+        once = pairs.select("a", "b").distinct()
+        decided = materialize(_decide(once, _sets_of(slim, once, p), tau), "decided")
+        low = materialize(components(decided.filter("near").select("a", "b")), "groups")
+        doubtful = pairs.join(decided.filter("not near").select("a", "b"), ["a", "b"]).select("key").distinct()
+        again = met.join(doubtful, "key", "left_semi").join(low, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("group"))
+        again = by_key(again).mapInArrow(_between(tau), "a bigint, b bigint").distinct().join(decided.select("a", "b"), ["a", "b"], "left_anti")
+        again = materialize(again, "again")
+        if not again.isEmpty():
+            more = _decide(again, _sets_of(slim, again, p), tau).filter("near").select("a", "b")
+            low = components(low.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
         out = marked.select("doc_id", "node").join(low, "node", "left").select("doc_id", F.coalesce("root", "node").alias("kept_doc_id"))
         return passing.keep(out.filter("doc_id <> kept_doc_id").distinct(), "near")

@@ -69,6 +69,18 @@ def test_groups_of_near_copies_and_odd_rows(spark):
     assert sorted((r.doc_id, r.kept_doc_id) for r in S.near_copies(docs).collect()) == brute(rows)
 
 
+def test_bitmaps_bound_the_difference():
+    rng = random.Random(6)
+    sets = [rng.sample(range(1 << 60), rng.randint(1, 400)) for _ in range(40)]
+    sets += [x[: rng.randint(1, len(x))] + rng.sample(range(1 << 60), rng.randint(0, 30)) for x in sets]
+    doc = [k for k, x in enumerate(sets) for _ in x]
+    rows = S.bitmaps(S.np.array(doc), S.np.array([v for x in sets for v in x], S.np.uint64), S.np.array([len(x) for x in sets]))
+    bits = S.Bits(pa.array(rows, pa.binary()))
+    for x in range(len(sets)):
+        apart = bits.apart(x, S.np.arange(len(sets)))
+        assert apart[x] == 0 and all(n <= len(set(sets[x]) ^ set(y)) for n, y in zip(apart, sets))
+
+
 def near_threshold(rng):
     """Pairs whose similarity lies about every threshold, and a chain of ever more distant copies."""
     words, rows = [f"w{k}" for k in range(3000)], []
