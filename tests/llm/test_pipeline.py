@@ -33,3 +33,19 @@ def test_each_stage_keeps_the_columns_and_stands_odd_rows(spark, sf, name, stage
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert out.count() <= len(data)
     assert exact_dedup and pieces
+
+
+@pytest.mark.parametrize("name, stage", C.STAGES[:-1])
+def test_clashing_columns_stay(spark, sf, name, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, __gone int, k_id int, d int, n int"
+    rows = [(k, f"document number {k} of its own kind w{k * 7} x{k * 11}", "en", "a", 9, f"k{k}", 5, 6, 7, 8, 9) for k in range(6)]
+    kept = stage(spark, spark.createDataFrame(rows, schema), sf)
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")] and {tuple(r) for r in kept.collect()} <= set(rows)
+
+
+def test_intermediate_tables_go(spark, sf):
+    from spanlab.llm import common
+
+    before = len(common._made)
+    C.run(spark, sf).count()
+    assert len(common._made) == before + 1  # the last stage's input
