@@ -10,11 +10,12 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import tables
+from . import letters
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 # as ranges: a matcher tests one after another for every character
@@ -51,16 +52,13 @@ def py_nfkc_lower(s: str) -> str:
     return unicodedata.normalize("NFKC", s).lower()
 
 
-_LATIN = {ch: out for out, chars in tables.LATIN.items() for ch in chars}
-_ARABIC = {ch: out for out, chars in tables.ARABIC.items() for ch in chars}
-_SEQUENCES = {seq: out for out, seqs in tables.SEQUENCES.items() for seq in seqs.split()}
-_LONGEST = sorted({len(s) for s in _SEQUENCES}, reverse=True)
-_BLANKED = dict.fromkeys(tables.PUNCTUATION, " ")
-_DROPPED = dict.fromkeys([*range(0x64B, 0x653), 0x656, 0x657, 0x200B, 0x200C, 0x200E, 0x200F, 0x202A, 0x202C])
 _FOLDED = str.maketrans({"ٱ": "ا", "ٰ": "ا", "ۥ": "و", "ۦ": "ي", "ـ": None, "ٓ": None, "ٕ": "ء", "ٔ": "ء"})
-_QUOTE = re.compile("(?<=[^\\s])[‘’‛](?=[^\\s])")
-_LEAD = re.compile(f"^[{tables.DIGITS}]+(?={_PY})")
-_ALONE = re.compile(f"(?<={_PY})[{tables.DIGITS}]+(?={_PY}|$)")
+# of several curly quotes in a run the last one is the apostrophe
+_QUOTE = re.compile(r"([^ \t\r\n\f\v]+)[‛’‘]([^ \t\r\n\f\v]+)")
+# the digits of Unicode but for the Arabic ones, which are read as words
+_DIGIT = "[^\\D٠-٩]"
+_LEAD = re.compile(f"^{_DIGIT}+(?={_PY})")
+_ALONE = re.compile(f"(?<={_PY}){_DIGIT}+(?={_PY}|$)")
 
 
 def py_normalize(text: str) -> str:
@@ -68,35 +66,16 @@ def py_normalize(text: str) -> str:
     s = re.sub(r"\([^)]*\d[^)]*\)", " ", py_nfkc_lower(text))
     for entity in ("&lt;", "&gt;", "&nbsp"):
         s = s.replace(entity, "")
-    s = _QUOTE.sub("'", s).translate(_FOLDED).translate(_BLANKED).translate(_DROPPED)
+    s = _QUOTE.sub(r"\1'\2", s).translate(_FOLDED)
+    if not s.isascii() or not s.replace(" ", "").isalnum():
+        s = "".join(" " if letters.is_blanked(ch) else ch for ch in s if not letters.is_dropped(ch))
     return " ".join(py_words(_ALONE.sub(" ", _LEAD.sub(" ", s))))
 
 
-def _roman_letter(ch: str) -> str:
-    if ch == "'" or ch.isascii() and ch.isalpha():
-        return ch
-    for t in (_ARABIC, _LATIN):
-        if ch in t:
-            return t[ch]
-    bare = "".join(x for x in unicodedata.normalize("NFKD", ch) if unicodedata.category(x) != "Mn")
-    return bare if bare.isascii() and bare.isalpha() else ""
-
-
 def py_romanize(text: str) -> str:
-    """Letters of the normalized text in Latin script, each set apart by a space.
-
-    Covers ASCII, Latin and Arabic letters and the sequences of ``tables``; other scripts
-    need a licensed table and give nothing.
-    """
-    out = []
-    for word in py_normalize(text).split(" "):
-        k, chars = 0, []
-        while k < len(word):
-            n = next((n for n in _LONGEST if word[k : k + n] in _SEQUENCES), 0)
-            chars.append(_SEQUENCES[word[k : k + n]] if n else _roman_letter(word[k]))
-            k += n or 1
-        out += [c for c in "".join(chars).lower() if c == "'" or "a" <= c <= "z"]
-    return " ".join(out)
+    """Letters of the normalized text in Latin script, each set apart by a space; see ``letters`` for what it covers."""
+    spelled = (letters.spell(word) for word in py_normalize(text).split(" "))
+    return " ".join(c for word in spelled for c in word.lower() if c == "'" or "a" <= c <= "z")
 
 
 def _udf(fn, kind="string"):
@@ -127,6 +106,16 @@ def with_stars(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.array(F.lit(STAR), t)))
 
 
+def romanized_stars(c: Column) -> Column:
+    """The words of a text, each romanized by itself, with a wildcard before each."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [y for w in py_words(x) for y in (STAR, py_romanize(w))])
+
+    return run(c)
+
+
 def timestamp(seconds: Column, hours: bool = False, marker: str = ".") -> Column:
     """[HH:]MM:SS.mmm, half-even to the millisecond; hours always, or only where there are any."""
     ms = F.bround(F.greatest(F.lit(0.0), seconds) * 1000).cast("long")
@@ -179,20 +168,27 @@ def parse_int(c: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else py_int(x)).astype("Int64"), "long")(c)
 
 
-OOM = r"(?i)out of memory|oom|alloc(ation)? failed|insufficient memory|bad_alloc"
-FATAL = r"(?i)device lost|illegal (memory access|address)|cuda error|driver (shut|shutting)|context (is )?(destroyed|lost)|corrupt"
+OOM = (
+    r"(?i)out of memory|cannot allocate memory|cu(blas|dnn)_status_alloc_failed|defaultcpuallocator"
+    r"|cuda(_error_|error: ?| error: )memory ?_?allocation|cudaerrormemoryallocation"
+)
+FATAL = r"(?i)cu(blas|dnn)_status|(cuda|hip) error|device-side assert|driver shutting down|illegal memory access|mps backend failed|unspecified launch failure"
+#: errors of a program, not of its data
+FAULTS = ("IndexError", "KeyError", "LoadError", "NameError", "NoMethodError", "NotImplementedError", "ScriptError", "SystemStackError", "TypeError")
 
 
-def error_class(message: Column, kind: Column | None = None) -> Column:
-    """A typed kind where there is one; else by the message."""
-    text = F.when(message.rlike(OOM), "oom").when(message.rlike(FATAL), "fatal").otherwise("error")
+def error_class(message: Column, kind: Column | None = None, error: Column | None = None) -> Column:
+    """A typed kind where there is one; else by the message and the class of the error."""
+    fault = F.lit(False) if error is None else F.coalesce(error.isin(*FAULTS), F.lit(False))
+    text = F.when(message.rlike(OOM), "oom").when(fault | message.rlike(FATAL), "fatal").otherwise("error")
     return text if kind is None else F.coalesce(F.when(kind.isin("oom", "fatal", "error"), kind), text)
 
 
-def error_fingerprint(message: Column) -> Column:
-    """Up to 500 characters with addresses and numbers masked, so like errors meet."""
-    s = F.substring(collapse(message), 1, 500)
-    return F.regexp_replace(F.regexp_replace(s, "0x[0-9a-fA-F]+", "0x*"), "[0-9]+", "#")
+def error_fingerprint(error: Column, message: Column) -> Column:
+    """Class and message, of 500 characters at most, with addresses and lone numbers masked, so like errors meet."""
+    s = collapse(F.coalesce(message, F.lit("")))
+    s = F.substring(F.when((s == "") | (s == error), "<no message>").otherwise(s), 1, 500)
+    return F.concat(error, F.lit(": "), F.regexp_replace(F.regexp_replace(s, "(?i)0x[0-9a-f]+", "0x*"), r"\b[0-9]+\b", "#"))
 
 
 def is_repo_id(c: Column) -> Column:
@@ -224,12 +220,15 @@ def centiseconds(c: Column) -> Column:
 
 def word_errors(reference: list[str], hypothesis: list[str]) -> int:
     """Levenshtein distance of two token lists."""
-    row = list(range(len(hypothesis) + 1))
-    for i, r in enumerate(reference, 1):
-        last, row[0] = row[0], i
-        for j, h in enumerate(hypothesis, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (r != h))
-    return row[-1]
+    code: dict[str, int] = {}
+    r, h = (np.array([code.setdefault(w, len(code)) for w in ws], np.int64) for ws in (reference, hypothesis))
+    place = np.arange(len(h) + 1)
+    row = place.copy()
+    for i, x in enumerate(r.tolist(), 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (h != x))
+        # insertions run to the right: the least of (value - place) so far, plus the place
+        row = np.minimum.accumulate(np.concatenate(([i], best)) - place) + place
+    return int(row[-1])
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:

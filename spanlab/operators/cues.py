@@ -39,13 +39,13 @@ def _ordered(index: str, line: Column) -> Column:
 
 
 def srt(cues: DataFrame, stream: str) -> DataFrame:
-    line = F.concat((F.col("cue_index") + 1).cast("string"), F.lit("\n"), T.timestamp(F.col("start"), True, ","), F.lit(" --> "), T.timestamp(F.col("end"), True, ","), F.lit("\n"), F.col("text"), F.lit("\n"))
-    return cues.groupBy(stream).agg(F.array_join(_ordered("cue_index", line), "\n").alias("content"))
+    line = F.concat((F.col("cue_index") + 1).cast("string"), F.lit("\n"), T.timestamp(F.col("start"), True, ","), F.lit(" --> "), T.timestamp(F.col("end"), True, ","), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    return cues.groupBy(stream).agg(F.array_join(_ordered("cue_index", line), "").alias("content"))
 
 
 def vtt(cues: DataFrame, stream: str) -> DataFrame:
-    line = F.concat(T.timestamp(F.col("start")), F.lit(" --> "), T.timestamp(F.col("end")), F.lit("\n"), F.col("text"), F.lit("\n"))
-    return cues.groupBy(stream).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(_ordered("cue_index", line), "\n")).alias("content"))
+    line = F.concat(T.timestamp(F.col("start")), F.lit(" --> "), T.timestamp(F.col("end")), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    return cues.groupBy(stream).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(_ordered("cue_index", line), "")).alias("content"))
 
 
 def txt(segments: DataFrame, stream: str, index: str) -> DataFrame:

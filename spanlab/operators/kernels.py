@@ -339,17 +339,33 @@ def split_point(durations) -> int:
     return min(range(1, n), key=lambda i: (max(i * durations[0], (n - i) * durations[i]), i))
 
 
-def grow(size: int, headroom: float, cooldown: int, most: int) -> tuple[int, int]:
-    """The next batch size and cooldown after a batch that fitted."""
-    if cooldown > 0:
-        return size, cooldown - 1
-    factor = 1.25 if headroom >= 0.20 else 1.125 if headroom > 0.05 else 1.0
-    return min(most, max(size, math.ceil(size * factor) if factor > 1 else size)), 0
-
-
-def shrink(size: int) -> tuple[int, int]:
-    """After an out-of-memory error."""
-    return max(1, size // 2), 2
+class Growth:
+    """Batch size as a run learns it: memory errors lower its bound, room to spare raises it."""
+
+    def __init__(self, size: int, most: int, total: int, budget: int = 0, ratio: float = 0.85):
+        self.size, self.most, self.wait, self.total = size, most, 0, total
+        self.budget = budget if budget > 0 else int(ratio * total)
+
+    def oom(self, rows: int) -> int:
+        self.wait = max(self.wait, 2)
+        if rows > 1:
+            self.most = min(self.most, rows - 1)
+        self.size = max(1, min(self.most, rows // 2)) if rows > 1 else 1
+        return self.size
+
+    def fitted(self, rows: int, peak: int, before: int = 0) -> int:
+        """After a batch of ``rows`` that reserved ``peak`` bytes, ``before`` of them before it."""
+        if self.wait:
+            self.wait -= 1
+        elif self.size < self.most and rows >= self.size and self.total > 0 and peak > 0:
+            room = (self.budget - peak) / self.total
+            if room > 0.05:
+                up = max(self.size + 1, math.ceil(self.size * (1.25 if room >= 0.20 else 1.125)))
+                fits = rows * max(0, self.budget - before) // max(1, peak - before)
+                if fits > 0:
+                    up = min(up, max(self.size, fits))
+                self.size = min(self.most, up)
+        return self.size
 
 
 def next_limit(current: int, ceiling: int) -> int | None:

@@ -50,23 +50,16 @@ def truncation(stopped: Column, current: Column, ceiling: Column) -> Column:
     return F.when(~stopped, "complete").when(next_limit(current, ceiling).isNotNull(), "retry").otherwise("hit_token_limit")
 
 
-def grow(size: Column, headroom: Column) -> Column:
-    factor = F.when(headroom >= 0.20, 1.25).when(headroom > 0.05, 1.125).otherwise(1.0)
-    return F.ceil(size * factor).cast("int")
-
-
-def learn(events: DataFrame, stream: str, order: str, initial: int, most: int) -> DataFrame:
-    """Batch size after each event (``oom`` or a headroom), a fold over the log."""
+def learn(events: DataFrame, stream: str, order: str, initial: int, most: int, total: int, budget: int = 0) -> DataFrame:
+    """Batch size after each batch, a fold over the log: ``oom``, the ``rows`` tried, ``peak`` and ``before`` bytes."""
     kind, kind_o = (events.schema[c].dataType.simpleString() for c in (stream, order))
 
     def run(key, p):
-        p, size, wait, out = p.sort_values(order, kind="stable"), initial, 0, []
-        for oom, room in zip(p["oom"], p["headroom"]):
-            size, wait = K.shrink(size) if oom else K.grow(size, room, wait, most)
-            out.append(size)
-        return pd.DataFrame({stream: key[0], order: p[order], "size": out})
+        p, g = p.sort_values(order, kind="stable"), K.Growth(initial, most, total, budget)
+        size = [g.oom(int(rows)) if oom else g.fitted(int(rows), int(peak), int(before)) for oom, rows, peak, before in zip(p["oom"], p["rows"], p["peak"], p["before"])]
+        return pd.DataFrame({stream: key[0], order: p[order], "size": size})
 
-    return events.select(stream, order, "oom", "headroom").groupBy(stream).applyInPandas(run, f"{stream} {kind}, {order} {kind_o}, size int")
+    return events.select(stream, order, "oom", "rows", "peak", "before").groupBy(stream).applyInPandas(run, f"{stream} {kind}, {order} {kind_o}, size int")
 
 
 def groups(df: DataFrame, run_key: str, order: str, estimate: str, workers: int, limit: int) -> DataFrame:

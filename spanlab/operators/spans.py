@@ -97,6 +97,18 @@ def has_bad_samples(samples: Column) -> Column:
     return F.exists(samples, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+_HALF = math.sqrt(0.5)
+#: what a speaker adds to the mono mix: left and right, centre, low frequencies, surround
+_SPEAKERS = {"L": _HALF, "C": 1.0, "F": 0.0, "S": 0.5}
+#: the speakers of the usual layouts by their number of channels
+LAYOUTS = {1: "C", 2: "LL", 3: "LLF", 4: "LLCS", 5: "LLCSS", 6: "LLCFSS", 7: "LLCFSSS", 8: "LLCFSSSS"}
+
+
+def layout_weights(channels: int) -> list[float] | None:
+    """Weights of the mono mix for so many channels; None (the mean) where the layout isn't known."""
+    return [_SPEAKERS[x] for x in LAYOUTS[channels]] if channels in LAYOUTS else None
+
+
 def downmix(channels: Column, weights: Column | None = None) -> Column:
     """One sample from an array of channels: a weighted sum, or the mean."""
     if weights is None:
@@ -104,6 +116,12 @@ def downmix(channels: Column, weights: Column | None = None) -> Column:
     return F.aggregate(F.zip_with(channels, weights, lambda c, w: c.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
 
 
+def resampled_bytes(frames: Column, channels: Column, source_rate: Column, rate: Column | int = RATE) -> Column:
+    """Bytes for decoding whole files: the source as float32, or the resampled mono with 64 frames to spare."""
+    resampled = F.ceil(frames * (rate / source_rate.cast("double"))) + 64
+    return F.greatest(frames * channels * 4, resampled * 4)
+
+
 def decoded_bytes(seconds: Column, rate: Column | int = RATE) -> Column:
     return (F.ceil(seconds * rate) + 1) * 4
 
@@ -115,24 +133,29 @@ def energy_db(samples: Column) -> Column:
     return 20.0 * F.log10(F.greatest(F.sqrt(total / F.greatest(F.size(samples), F.lit(1))), F.lit(1e-10)))
 
 
-def energy_spans(frames: DataFrame, stream: str, order: str, loud: str, shortest: float, longest: float, silence: float, window: float = 0.05) -> DataFrame:
-    """Loud frames to spans by the energy tokenizer."""
+def energy_spans(frames: DataFrame, stream: str, order: str, loud: str, shortest: float, longest: float, silence: float, window: float = 0.05, length: str | None = None) -> DataFrame:
+    """Loud frames to spans by the energy tokenizer; ``length`` is a column of each frame's samples, of which the last may have fewer."""
 
     def run(p):
         t = K.EnergyTokens(shortest, longest, silence, window)
-        found = [s for s in [t.push(bool(x)) for x in p[loud]] + [t.close()] if s]
+        sizes = p[length].tolist() if length else [None] * len(p)
+        found = [s for s in [t.push(bool(x), n) for x, n in zip(p[loud], sizes)] + [t.close()] if s]
         return ((k, *s) for k, s in enumerate(found))
 
-    return _per_stream(frames.select(stream, order, loud), stream, [order], run, "span int, start double, end double")
+    return _per_stream(frames.select(stream, order, loud, *([length] if length else [])), stream, [order], run, "span int, start double, end double")
 
 
-def speech_spans(probs: DataFrame, stream: str, order: str, prob: str, **options) -> DataFrame:
-    """Hysteresis segmentation of a probability for each frame, padded; in samples."""
+def speech_spans(probs: DataFrame, stream: str, order: str, prob: str, media: str | None = None, **options) -> DataFrame:
+    """Hysteresis segmentation of a probability for each frame, padded; in samples.
+
+    ``media`` is a column of the stream's samples; without it the last frame counts as full.
+    """
 
     def run(p):
-        return ((k, *s) for k, s in enumerate(K.speech(p[prob].to_numpy(np.float32), len(p) * K.FRAME, **options)))
+        n = int(p[media].iloc[0]) if media else len(p) * K.FRAME
+        return ((k, *s) for k, s in enumerate(K.speech(p[prob].to_numpy(np.float32), n, **options)))
 
-    return _per_stream(probs.select(stream, order, prob), stream, [order], run, "span int, start long, end long")
+    return _per_stream(probs.select(stream, order, prob, *([media] if media else [])), stream, [order], run, "span int, start long, end long")
 
 
 def pad(df: DataFrame, stream: str, samples: str, width: float) -> DataFrame:

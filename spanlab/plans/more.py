@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import packing, profile, recovery, state
+from ..operators import packing, profile, recovery, state, timing
 from ..operators import spans as S
 from . import views as V
 from .queries import query
@@ -17,11 +17,19 @@ def decoded_size(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", S.decoded_bytes(F.col("o_totalprice")).alias("bytes"), T.centiseconds(F.floor("o_totalprice") * 16000).cast("double").alias("hundredths"))
 
 
-@query("""SELECT vec_id, round((embedding[1]::DOUBLE * 0.5 + embedding[2]::DOUBLE * 0.3 + embedding[3]::DOUBLE * 0.2), 6) AS mixed, round((embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) / 3, 6) AS mean, false AS bad FROM embeddings""")
+_MIX = "[{}]::DOUBLE[]".format(", ".join(map(str, S.layout_weights(8))))
+
+
+@query(f"""WITH f AS (SELECT vec_id, unnest(range(0, 8)) AS frame, embedding FROM embeddings), c AS (SELECT vec_id, frame, embedding[frame * 8 + 1 : frame * 8 + 8] AS ch FROM f)
+SELECT vec_id, frame, round(list_sum(list_transform(range(1, 9), lambda i: ch[i]::DOUBLE * ({_MIX})[i])), 6) AS mixed, round(list_sum(list_transform(ch, lambda x: x::DOUBLE)) / 8, 6) AS mean,
+  len(list_filter(ch, lambda x: NOT abs(x) > 0.3::DOUBLE)) > 0 AS bad FROM c""")
 def downmix(spark, d):
-    ch = F.slice("embedding", 1, 3)
-    w = F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
-    return V.table(spark, d, "embeddings").select("vec_id", F.round(S.downmix(ch, w), 6).alias("mixed"), F.round(S.downmix(F.transform(ch, lambda x: x.cast("double"))), 6).alias("mean"), S.has_bad_samples(F.col("embedding")).alias("bad"))
+    """Each vector as eight frames of eight channels; values near zero are made infinite to be found."""
+    frames = V.table(spark, d, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("frame"), "embedding")
+    ch = F.slice("embedding", F.col("frame") * 8 + 1, F.lit(8))
+    w = F.array(*[F.lit(x) for x in S.layout_weights(8)])
+    spoiled = F.transform(ch, lambda x: F.when(F.abs(x) > F.lit(0.3), x).otherwise(F.lit(float("inf"))))
+    return frames.select("vec_id", F.col("frame").cast("long"), F.round(S.downmix(ch, w), 6).alias("mixed"), F.round(S.downmix(F.transform(ch, lambda x: x.cast("double"))), 6).alias("mean"), S.has_bad_samples(spoiled).alias("bad"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.0, (l_partkey - 100) / 16000.0::DOUBLE) AS start, least(5000 / 16000.0::DOUBLE, l_partkey * 2 / 16000.0::DOUBLE) AS "end" FROM lineitem
@@ -44,12 +52,12 @@ def merge_fold(spark, d):
 
 
 @query("""SELECT s_suppkey, 24 * greatest(s_acctbal / 100, 0.25) AS budget, least(536870912, floor(s_suppkey * 10000000 / 2))::BIGINT AS group_bytes,
-CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS generated FROM supplier""")
+CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 1 THEN s_suppkey + 1 ELSE s_suppkey END AS generated FROM supplier""")
 def budgets(spark, d):
     k = F.col("s_suppkey")
     return V.table(spark, d, "supplier").select(
         "s_suppkey", packing.audio_budget(F.lit(24), F.col("s_acctbal") / 100).alias("budget"), packing.group_bytes(k * 10_000_000).cast("long").alias("group_bytes"),
-        (k + F.when((k % 3 == 0) & ~(k % 2 == 2), 1).otherwise(0)).alias("generated"),
+        timing.generated_tokens(k, k % 3 == 0, k % 2 == 0).alias("generated"),
     )
 
 
@@ -73,9 +81,14 @@ def path_normalize(spark, d):
     return V.table(spark, d, "pages").select("page_id", T.path(F.col("url")).alias("path"))
 
 
-@query("""SELECT c_custkey, try_cast(c_acctbal::VARCHAR AS DOUBLE) AS f, c_custkey AS i, NULL::BIGINT AS bad FROM customer""")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_acctbal WHEN 1 THEN c_custkey * 1000.5 WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN c_custkey::DOUBLE END AS f,
+CASE c_custkey % 5 WHEN 1 THEN NULL WHEN 3 THEN c_custkey WHEN 4 THEN c_custkey * 100000 + 10234 END AS i FROM customer""")
 def parse_numbers(spark, d):
-    return V.table(spark, d, "customer").select("c_custkey", T.parse_float(F.col("c_acctbal").cast("string")).alias("f"), T.parse_int(F.col("c_custkey").cast("string")).alias("i"), T.parse_int(F.lit("1.5x")).alias("bad"))
+    """Plain decimals, underscores, infinity, spaces about digits, Arabic digits and what is no number."""
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    arabic = F.translate(F.concat(n, F.lit("10234")), "0123456789", "٠١٢٣٤٥٦٧٨٩")
+    given = F.when(k % 5 == 0, F.col("c_acctbal").cast("string")).when(k % 5 == 1, F.format_string("%.1f", k * 1000.5)).when(k % 5 == 2, " Infinity").when(k % 5 == 3, F.concat(F.lit(" +"), n, F.lit(" "))).otherwise(arabic)
+    return V.table(spark, d, "customer").select("c_custkey", F.when(k % 5 != 4, T.parse_float(given)).alias("f"), F.when(k % 5 > 0, T.parse_int(given)).alias("i"))
 
 
 @query("""SELECT user_id, list(event_type ORDER BY first) AS kinds FROM (SELECT user_id, event_type, min((ts, event_id)) AS first FROM events GROUP BY ALL) GROUP BY user_id""")
@@ -113,10 +126,10 @@ def phase_timings(spark, d):
     return micros.agg(F.round(F.sum(F.col("l_quantity") * 1000) / 1e6, 6).alias("encode_s"), F.round(F.sum("l_extendedprice") / 1e6, 6).alias("decode_s"), F.count("*").alias("calls"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_partkey + (l_linenumber - 1) * 40 + 39 * 1 + 1 AS extent, true AS dense FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_partkey + (l_linenumber - 1) * (40 + l_partkey % 2) + 39 * 1 + 1 AS extent, l_partkey % 2 = 0 AS dense FROM lineitem""")
 def tensor_extents(spark, d):
     shape = F.array(F.col("l_linenumber").cast("long"), F.lit(40).cast("long"))
-    stride = F.array(F.lit(40).cast("long"), F.lit(1).cast("long"))
+    stride = F.array((F.col("l_partkey") % 2 + 40).cast("long"), F.lit(1).cast("long"))
     return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", recovery.tensor_extent(F.col("l_partkey"), shape, stride).alias("extent"), recovery.is_contiguous(shape, stride).alias("dense"))
 
 
@@ -161,6 +174,7 @@ def checkpoint_counts(spark, d):
     return V.table(spark, d, "labels").agg(F.count("*").alias("resumed"), F.count_if(F.col("quality") == 1).alias("written"))
 
 
-@query("""SELECT count(*) = 0 AS ok FROM orders WHERE o_orderstatus = 'X'""")
+@query("""SELECT o_orderpriority AS engine, count(*) FILTER (WHERE o_orderstatus = 'P') = 0 AS ok FROM orders GROUP BY 1""")
 def run_is_ok(spark, d):
-    return profile.by_status(V.table(spark, d, "orders").withColumn("status", F.col("o_orderstatus")), "X").agg((F.count("*") == 0).alias("ok"))
+    rows = V.table(spark, d, "orders").select(F.col("o_orderpriority").alias("engine"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("completed").alias("status"), F.lit(1.0).alias("duration"))
+    return rows.groupBy("engine").agg((F.count_if(F.col("status") == "failed") == 0).alias("ok"))

@@ -65,12 +65,12 @@ def _stamp(x: str, hours: bool) -> str:
     return f"CASE WHEN {ms} >= 3600000 THEN printf('%02d:', {ms} // 3600000) ELSE '' END || {short}"
 
 
-@query(CUE_FOLD + f""" SELECT file, string_agg((cue_index + 1)::VARCHAR || chr(10) || {_stamp("start", True)} || ' --> ' || {_stamp('"end"', True)} || chr(10) || text || chr(10), chr(10) ORDER BY cue_index) AS content FROM cues GROUP BY file""")
+@query(CUE_FOLD + f""" SELECT file, string_agg((cue_index + 1)::VARCHAR || chr(10) || {_stamp("start", True)} || ' --> ' || {_stamp('"end"', True)} || chr(10) || text || chr(10) || chr(10), '' ORDER BY cue_index) AS content FROM cues GROUP BY file""")
 def render_srt(spark, d):
     return cues.srt(_cues(spark, d), "file")
 
 
-@query(CUE_FOLD + f""" SELECT file, 'WEBVTT' || chr(10) || chr(10) || string_agg({_stamp("start", False)} || ' --> ' || {_stamp('"end"', False)} || chr(10) || text || chr(10), chr(10) ORDER BY cue_index) AS content FROM cues GROUP BY file""")
+@query(CUE_FOLD + f""" SELECT file, 'WEBVTT' || chr(10) || chr(10) || string_agg({_stamp("start", False)} || ' --> ' || {_stamp('"end"', False)} || chr(10) || text || chr(10) || chr(10), '' ORDER BY cue_index) AS content FROM cues GROUP BY file""")
 def render_vtt(spark, d):
     return cues.vtt(_cues(spark, d), "file")
 
@@ -156,31 +156,32 @@ def energy_frames(spark, d):
 
 @query()
 def energy_spans(spark, d):
-    rows = V.frames(spark, d).select("stream", "frame", (S.energy_db(F.col("samples")) >= 72).alias("loud"))
-    return S.energy_spans(rows, "stream", "frame", "loud", 0.1, 0.6, 0.05)
+    last = F.max("frame").over(Window.partitionBy("stream")) == F.col("frame")
+    rows = V.frames(spark, d).select("stream", "frame", (S.energy_db(F.col("samples")) >= 72).alias("loud"), F.when(last, 300).otherwise(800).alias("n"))
+    return S.energy_spans(rows, "stream", "frame", "loud", 0.1, 0.6, 0.05, length="n")
 
 
 @query()
 def speech_spans(spark, d):
-    return S.speech_spans(V.probs(spark, d), "stream", "frame", "prob", threshold=0.5, shortest_ms=0, silence_ms=64, pad_ms=16, longest_s=1.0)
+    probs = V.probs(spark, d).withColumn("media", F.count("*").over(Window.partitionBy("stream")) * 512 - 100)
+    return S.speech_spans(probs, "stream", "frame", "prob", "media", threshold=0.5, shortest_ms=0, silence_ms=64, pad_ms=16, longest_s=1.0)
 
 
-@query(f"""WITH {V.FRAMES} SELECT stream, frame, list_concat(CASE WHEN lag(samples) OVER w IS NULL THEN [0, 0, 0]::FLOAT[] ELSE (lag(samples) OVER w)[6:8] END, samples) AS frame_samples FROM frames WINDOW w AS (PARTITION BY stream ORDER BY frame)""")
+@query(f"""WITH {V.FRAMES} SELECT stream, frame, list_concat(CASE WHEN lag(samples) OVER w IS NULL THEN [0, 0, 0]::FLOAT[] ELSE (lag(samples) OVER w)[62:64] END, samples) AS frame_samples FROM frames WINDOW w AS (PARTITION BY stream ORDER BY frame)""")
 def frame_contexts(spark, d):
     return S.frame_contexts(V.frames(spark, d).withColumnRenamed("frame", "k"), "stream", "k", "samples", 3).select("stream", F.col("k").alias("frame"), F.col("frame").alias("frame_samples"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1:8] AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM e),
+@query("""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), m AS (SELECT vec_id, v, list_max(v) AS top FROM e),
 t AS (SELECT vec_id, v, top, ln(list_sum(list_transform(v, lambda x: exp((x - top)::DOUBLE)))) AS total FROM m)
 SELECT vec_id, list_append(list_transform(v, lambda x: round(((x - top) - total)::FLOAT::DOUBLE, 5)), 0.0::DOUBLE) AS logp FROM t""")
 def log_softmax(spark, d):
-    v = F.slice("embedding", 1, 8)
-    out = ctc.log_softmax(v)
+    out = ctc.log_softmax(F.col("embedding"))
     return V.table(spark, d, "embeddings").select("vec_id", F.transform(out, lambda x: F.round(x.cast("double"), 5)).alias("logp"))
 
 
 def _emissions(spark, d):
-    """Blocks of twenty frames of eight classes, to three targets."""
+    """Blocks of twenty frames, each value of a vector a class, to three targets."""
     w = Window.partitionBy("stream").orderBy("frame")
     frames = V.frames(spark, d).withColumn("block", F.floor((F.row_number().over(w) - 1) / 20))
     rows = frames.groupBy("stream", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "samples"))), lambda x: ctc.log_softmax(x["samples"], False)).alias("emissions"))
@@ -426,17 +427,35 @@ def latest_attempt(spark, d):
     return packing.latest(rows, ["user_id"], "event_id").select("user_id", "event_type", "value")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type = 'error' AS oom, event_id % 40 + 1 AS n, (value * 10)::INT + 100 AS peak, event_id % 90 AS base, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, 24::BIGINT AS size, 64::BIGINT AS most, 0::BIGINT AS wait FROM e GROUP BY user_id
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN oom THEN CASE WHEN n > 1 THEN greatest(1, least(least(most, n - 1), n // 2)) ELSE 1 END
+    WHEN wait > 0 OR size >= most OR n < size OR (850 - peak) / 1000.0::DOUBLE <= 0.05 THEN size
+    ELSE least(most, CASE WHEN fits > 0 THEN least(up, greatest(size, fits)) ELSE up END) END,
+    CASE WHEN oom AND n > 1 THEN least(most, n - 1) ELSE most END, CASE WHEN oom THEN greatest(wait, 2) WHEN wait > 0 THEN wait - 1 ELSE 0 END
+  FROM (SELECT e.*, f.size, f.most, f.wait, greatest(f.size + 1, ceil(f.size * CASE WHEN (850 - peak) / 1000.0::DOUBLE >= 0.20 THEN 1.25::DOUBLE ELSE 1.125::DOUBLE END)::BIGINT) AS up, n * greatest(0, 850 - base) // greatest(1, peak - base) AS fits
+    FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, event_id, size FROM f WHERE i > 0""")
 def batch_growth(spark, d):
-    rows = V.table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("oom"), F.least(F.col("value") / 100, F.lit(1.0)).alias("headroom"))
-    return packing.learn(rows, "user_id", "event_id", 24, 64)
+    k = F.col("event_id")
+    rows = V.table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("oom"), (k % 40 + 1).alias("rows"), (F.bround(F.col("value") * 10) + 100).cast("long").alias("peak"), (k % 90).alias("before"))
+    return packing.learn(rows, "user_id", "event_id", 24, 64, 1000)
+
+
+_MESSAGES = ("CUDA  out of memory at 0x7FfA", "CUDA error: memory allocation", "HIP error 12 in room", "step{} failed after {} rows", "", "CUBLAS_STATUS_ALLOC_FAILED", "DefaultCPUAllocator: item{}", "driver shutting down")
+_KINDS = ("RuntimeError", "KeyError", "ArgumentError")
 
 
-@query(r"""SELECT event_id, CASE WHEN regexp_matches(m, 'out of memory') THEN 'oom' WHEN regexp_matches(m, 'device lost') THEN 'fatal' ELSE 'error' END AS class, regexp_replace(regexp_replace(m, '0x[0-9a-fA-F]+', '0x*', 'g'), '[0-9]+', '#', 'g') AS fingerprint
-FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'CUDA out of memory at 0x7fA' ELSE 'step failed ' END || event_id::VARCHAR AS m FROM events)""")
+@query(rf"""WITH m AS (SELECT event_id, {list(_KINDS)}[event_id % 3 + 1] AS error, replace({list(_MESSAGES)}[event_id % 8 + 1], '{{}}', event_id::VARCHAR) AS message FROM events),
+s AS (SELECT *, trim(regexp_replace(message, ' +', ' ', 'g')) AS t, lower(message) AS l FROM m)
+SELECT event_id, CASE WHEN contains(l, 'out of memory') OR contains(l, 'cuda error: memory allocation') OR contains(l, 'cublas_status_alloc_failed') OR contains(l, 'defaultcpuallocator') THEN 'oom'
+  WHEN error = 'KeyError' OR contains(l, 'hip error') OR contains(l, 'cuda error') OR contains(l, 'driver shutting down') OR contains(l, 'cublas_status') THEN 'fatal' ELSE 'error' END AS class,
+  error || ': ' || regexp_replace(regexp_replace(CASE WHEN t = '' THEN '<no message>' ELSE t END, '0x[0-9a-fA-F]+', '0x*', 'g'), '\b[0-9]+\b', '#', 'g') AS fingerprint FROM s""")
 def error_policy(spark, d):
-    m = F.concat(F.when(F.col("event_type") == "error", "CUDA  out of memory at 0x7fA").otherwise("step failed "), F.col("event_id").cast("string"))
-    return V.table(spark, d, "events").select("event_id", T.error_class(m).alias("class"), T.error_fingerprint(m).alias("fingerprint"))
+    k = F.col("event_id")
+    pick = lambda xs, n: F.get(F.array(*[F.lit(x) for x in xs]), (k % n).cast("int"))
+    rows = V.table(spark, d, "events").select("event_id", pick(_KINDS, 3).alias("error"), F.replace(pick(_MESSAGES, 8), F.lit("{}"), k.cast("string")).alias("message"))
+    return rows.select("event_id", T.error_class(F.col("message"), error=F.col("error")).alias("class"), T.error_fingerprint(F.col("error"), F.col("message")).alias("fingerprint"))
 
 
 @query(r"""SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '') AS tokens FROM documents""")
@@ -481,9 +500,10 @@ def compare_files(spark, d):
     return profile.compare_files(V.table(spark, d, "documents").select("doc_id"), V.table(spark, d, "labels").select("doc_id"), "doc_id")
 
 
-@query("""SELECT i AS doc_id FROM range(0, 150) t(i) WHERE i NOT IN (SELECT doc_id FROM labels) ORDER BY i LIMIT 8""")
+@query("""SELECT i AS doc_id FROM range(0, (SELECT max(doc_id) + 1 FROM labels)) t(i) WHERE i NOT IN (SELECT doc_id FROM labels) ORDER BY i LIMIT 8""")
 def missing_ids(spark, d):
-    return profile.missing_ids(V.table(spark, d, "labels"), "doc_id", 150)
+    ids = V.table(spark, d, "labels")
+    return profile.missing_ids(ids, "doc_id", ids.agg(F.max("doc_id")).first()[0] + 1)
 
 
 @query("""SELECT c_mktsegment AS key, count(DISTINCT c_nationkey) AS n_values FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1""")

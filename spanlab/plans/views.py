@@ -35,12 +35,12 @@ words AS (SELECT file, segment_index, k - 1 AS word_index, start + (k - 1) * (("
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of eight samples from embeddings."""
+    """Frames from embeddings, a whole vector each."""
     w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("stream"), (F.row_number().over(w) - 1).alias("frame"), F.slice("embedding", 1, 8).alias("samples"))
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("stream"), (F.row_number().over(w) - 1).alias("frame"), F.col("embedding").alias("samples"))
 
 
-FRAMES = "frames AS (SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding[1:8] AS samples FROM embeddings)"
+FRAMES = "frames AS (SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, embedding AS samples FROM embeddings)"
 _PCM = "list_transform(samples, lambda x: trunc((greatest(-1, least(1, x::DOUBLE)) * 32767.0)::FLOAT)::BIGINT)"
 LOUD = FRAMES + f""",
 loud AS (SELECT stream, frame, 20 * log10(greatest(sqrt(list_sum(list_transform({_PCM}, lambda p: p * p)) / len(samples)), 1e-10)) AS db FROM frames)"""

@@ -39,7 +39,6 @@ def test_timestamps(spark):
 def test_paths_errors_and_numbers(spark):
     for p, want in [("a//b/./c", "a/b/c"), ("//x/y", "//x/y"), ("/./", "/"), (".", ".")]:
         assert one(spark, T.path(F.lit(p))) == want
-    assert one(spark, T.error_fingerprint(F.lit("bad  0xAF at 12"))) == "bad #x* at #" or one(spark, T.error_fingerprint(F.lit("bad  0xAF at 12"))) == "bad 0x* at #"
     assert one(spark, T.error_class(F.lit("CUDA out of memory"))) == "oom"
     assert T.py_float("1_0.5") == 10.5 and T.py_float("x") is None and T.py_int("1_000") == 1000 and T.py_int("1.0") is None
 
