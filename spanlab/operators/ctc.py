@@ -18,6 +18,13 @@ def log_softmax(v: Column, wildcard: bool = True) -> Column:
     return F.concat(out, F.array(F.lit(0.0).cast("float"))) if wildcard else out
 
 
+def frame_range(start: Column, end: Column, frames: Column, stride_ms: float = 20.0) -> tuple[Column, Column, Column]:
+    """First frame and one past the last of a segment, half-even, inside the media; and whether they are too few to align."""
+    first = F.greatest(F.bround(start * 1000 / F.lit(stride_ms)).cast("long"), F.lit(0))
+    last = F.least(F.bround(end * 1000 / F.lit(stride_ms)).cast("long"), frames)
+    return first, last, last - first < 2
+
+
 def align(segments: DataFrame, *keys: str, blank: int = 0) -> DataFrame:
     """Path of labels for each row with ``emissions`` (frames of log-probabilities) and ``targets``."""
     schema = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys)

@@ -377,10 +377,13 @@ def next_limit(current: int, ceiling: int) -> int | None:
 
 
 def group_first_fit(estimates, workers: int, limit: int) -> list[int]:
-    """Preparation group of each item, in order: at most ``workers`` items and ``limit`` bytes; a larger item is alone."""
+    """Preparation group of each item, in order: at most ``workers`` items and ``limit`` bytes; a larger item is alone.
+
+    An item of unknown size (None, NaN or none at all) reserves its worker's share of the limit.
+    """
     out, group, used, held = [], -1, 0, 0
     for e in estimates:
-        need = math.ceil(e * 1.05)
+        need = math.ceil(e * 1.05) if e is not None and e > 0 else max(1, limit // workers)
         if group < 0 or held >= workers or used + need > limit:
             group, used, held = group + 1, 0, 0
         used, held = used + need, held + 1

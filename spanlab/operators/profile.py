@@ -33,6 +33,13 @@ def merge_telemetry(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def roll_up(chunks: DataFrame, keys: list[str], peaks: list[str]) -> DataFrame:
+    """One row of statistics from those of chunks: sums, the largest of ``peaks``, and the rate made again from the sums."""
+    sums = [c for c in chunks.columns if c not in (*keys, *peaks, "rtfx")]
+    rows = chunks.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in peaks])
+    return rows.withColumn("rtfx", F.when(F.col("elapsed_seconds") > 0, F.col("successful_audio_seconds") / F.col("elapsed_seconds")))
+
+
 def quantiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Least, p50, p90, p99 and most, by linear interpolation; null for no rows."""
     p = lambda q: F.percentile(value, F.lit(q))

@@ -188,6 +188,15 @@ def overlapping_windows(df: DataFrame, stream: str, samples: str, window: int, c
     )
 
 
+def emission_frames(samples: Column, window: int = 480_000, window_frames: int = 1500, ratio: int = 320, least: int = 400) -> tuple[Column, Column, Column]:
+    """How media are given to the aligner: 'direct' below a window, zero-padded to ``least`` samples, or in
+    'windows', where the frames of the last one that lie beyond the media are dropped."""
+    count = F.floor((samples + (window - 1)) / window)
+    long = samples >= window
+    frames = count * window_frames - F.floor((count * window - samples) / ratio)
+    return F.when(long, "windows").otherwise("direct"), F.when(~long, F.greatest(samples, F.lit(least))), F.when(long, frames)
+
+
 def window_samples(samples: Column, lo: Column, hi: Column) -> Column:
     """The samples of a window, with zeros outside the media."""
     zero = F.lit(0.0).cast("float")

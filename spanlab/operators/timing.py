@@ -43,6 +43,29 @@ def words_across_spans(spans: DataFrame, keys: list[str], order: str, tokens: st
     return rows.select(*keys, (F.col("offset") + F.col("k")).alias("word_index"), (F.col("start") + F.col("k") * F.col("step")).alias("start"), (F.col("start") + (F.col("k") + 1) * F.col("step")).alias("end"), "word")
 
 
+def words_by_mode(segments: DataFrame, speech: DataFrame, keys: list[str], mode: str, merge: bool = True, aligned: DataFrame | None = None) -> DataFrame:
+    """Timed words: none, by segment, or as aligned; ``source`` tells how each was timed.
+
+    By segment, words go over the stretches of ``speech`` (keys, r_start, r_end) that overlap
+    theirs if ``merge`` is on and there are any, and else evenly over the segment.
+    ``segments`` has keys, text, start and end; ``aligned`` has the columns of the result.
+    """
+    names = [*keys, "word_index", "start", "end", "word"]
+    even = uniform_words(segments, *keys).select(*names, F.lit("uniform").alias("source"))
+    if mode == "none":
+        return even.limit(0)
+    if mode == "word":
+        return aligned.select(*names, "source")
+    if mode != "segment":
+        raise ValueError(f"no such mode: {mode}")
+    if not merge:
+        return even
+    met = segments.select(*keys, "text", "start", "end").join(speech, keys).filter((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
+    met = met.select(*keys, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), T.words(F.col("text")).alias("tokens")).filter("end > start")
+    across = words_across_spans(met, keys, "start", "tokens").select(*names, F.lit("uniform_speech_spans").alias("source"))
+    return across.unionByName(even.join(met.select(*keys).distinct(), keys, "left_anti"))
+
+
 def span_times(spans: DataFrame, keys: list[str], order: str, stride_ms: float) -> DataFrame:
     """Frame spans to seconds; a word starts no earlier than the one before it ends."""
     start, end = F.col("first") * F.lit(float(stride_ms)) / 1000.0, (F.col("last") + 1) * F.lit(float(stride_ms)) / 1000.0

@@ -174,6 +174,14 @@ class TensorSource(DataSource):
         return _TensorReader([p for p in self.options.get("paths", "").split(",") if p])
 
 
+def shard_set(index: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The tensors of some files (name, shard, ...) against their index (name, shard); ``error`` where they disagree."""
+    there = catalog.withColumn("there", F.lit(True))
+    both = index.withColumn("mapped", F.lit(True)).join(there, ["name", "shard"], "full_outer")
+    error = F.when(F.col("there").isNull(), "maps a missing tensor").when(F.col("mapped").isNull(), "absent from the index")
+    return both.withColumn("error", error).drop("there", "mapped")
+
+
 def to_float32(kind: str, data: bytes) -> np.ndarray:
     if kind == "F32":
         return np.frombuffer(data, "<f4")

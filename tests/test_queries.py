@@ -1,6 +1,6 @@
 import compare
 import pytest
-from spanlab.plans import more  # noqa: F401
+from spanlab.plans import further, more  # noqa: F401
 from spanlab.plans import queries as Q
 
 
