@@ -8,7 +8,7 @@ from ..operators import ctc, packing, profile, state, timing
 from ..operators import spans as S
 from ..sources import files
 from . import views as V
-from .queries import _r, query
+from .queries import query
 
 _WHY = [
     None, 'state is "draft", not published', "state marker ASR contract does not match", "state marker render contract does not match", "state marker source snapshot does not match",
@@ -49,7 +49,7 @@ def checkpoint_restore(spark, d):
 @query(f"""WITH {V.SEGMENTS}, s AS (SELECT file, segment_index, tokens, n, start AS a, "end" - start AS d, n * 2 // 3 + CASE WHEN n % 3 = 1 THEN 1 ELSE 0 END AS first, unnest(range(0, n)) AS k FROM segments WHERE n > 0),
 t AS (SELECT *, CASE WHEN segment_index % 2 = 1 THEN a + k * (d / n) WHEN k < first THEN a + k * (d / 2 / first) ELSE a + d * 0.75 + (k - first) * (d / 4 / (n - first)) END AS start,
   CASE WHEN segment_index % 2 = 1 THEN d / n WHEN k < first THEN d / 2 / first ELSE d / 4 / (n - first) END AS step FROM s)
-SELECT file, segment_index, k AS word_index, tokens[k + 1] AS word, round(start, 6) AS start, round(start + step, 6) AS "end", CASE WHEN segment_index % 2 = 1 THEN 'uniform' ELSE 'uniform_speech_spans' END AS source FROM t""")
+SELECT file, segment_index, k AS word_index, tokens[k + 1] AS word, round(start, 9) AS start, round(start + step, 9) AS "end", CASE WHEN segment_index % 2 = 1 THEN 'uniform' ELSE 'uniform_speech_spans' END AS source FROM t""")
 def timing_modes(spark, d):
     """Even segments have two stretches of speech, of half and a quarter of their length; odd ones have none."""
     seg = V.segments(spark, d)
@@ -57,7 +57,7 @@ def timing_modes(spark, d):
     speech = seg.filter("segment_index % 2 = 0").select("file", "segment_index", F.explode(F.array(
         F.struct(F.col("start").alias("r_start"), (F.col("start") + length / 2).alias("r_end")), F.struct((F.col("start") + length * 0.75).alias("r_start"), F.col("end").alias("r_end")))).alias("r"))
     words = timing.words_by_mode(seg, speech.select("file", "segment_index", "r.*"), ["file", "segment_index"], "segment", merge=True)
-    return words.select("file", "segment_index", "word_index", "word", *_r("start", "end"), "source")
+    return words.select("file", "segment_index", "word_index", "word", F.round("start", 9).alias("start"), F.round("end", 9).alias("end"), "source")
 
 
 @query("""SELECT l_returnflag AS run, sum(l_quantity) AS elapsed_seconds, sum(l_extendedprice) AS successful_audio_seconds, max(l_partkey) AS peak, round(sum(l_extendedprice) / sum(l_quantity), 6) AS rtfx FROM lineitem GROUP BY 1""")
