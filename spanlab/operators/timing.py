@@ -32,6 +32,24 @@ def allocate(spans: DataFrame, keys: list[str], order: str, tokens: str, weight:
     return rows.withColumn("share", (F.col("whole") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)).cast("long")).drop("exact", "whole", "left", "rank")
 
 
+def _shared(rows: DataFrame, spans: str, tokens: str, name: str) -> DataFrame:
+    """``allocate`` inside one row: the spans (an array of start, end in order) that get any of ``tokens``, with length and share.
+
+    What is left goes by remainder, then length, then order.
+    """
+    length = lambda s: s["end"] - s["start"]
+
+    def part(s: Column, k: Column, total: Column) -> Column:
+        exact = F.col(tokens) * (length(s) / total)
+        return F.struct((F.floor(exact) - exact).alias("rest"), (-length(s)).alias("short"), k.alias("k"), s["start"].alias("start"), F.floor(exact).alias("whole"))
+
+    parts = F.aggregate(spans, F.lit(0.0), lambda a, s: a + length(s), lambda total: F.transform(spans, lambda s, k: part(s, k, total)))
+    shares = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["whole"], lambda given: F.transform(F.sort_array("parts"), lambda p, rank: F.struct(
+        p["k"].alias("k"), p["start"].alias("start"), (-p["short"]).alias("length"), (p["whole"] + F.when(rank < F.col(tokens) - given, 1).otherwise(0)).alias("share"))))
+    held = F.sort_array(F.filter(shares, lambda p: p["share"] > 0))
+    return rows.withColumn("parts", parts).withColumn(name, F.transform(held, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["share"].alias("share")))).drop("parts")
+
+
 def words_across_spans(spans: DataFrame, keys: list[str], order: str, tokens: str) -> DataFrame:
     """The tokens (an array column) of each group over its spans, evenly inside each."""
     valid = spans.filter(F.col("end") > F.col("start")).withColumns({"n": F.size(tokens), "length": F.col("end") - F.col("start")})
@@ -60,10 +78,22 @@ def words_by_mode(segments: DataFrame, speech: DataFrame, keys: list[str], mode:
         raise ValueError(f"no such mode: {mode}")
     if not merge:
         return even
-    met = segments.select(*keys, "text", "start", "end").join(speech, keys).filter((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
-    met = met.select(*keys, F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), T.words(F.col("text")).alias("tokens")).filter("end > start")
-    across = words_across_spans(met, keys, "start", "tokens").select(*names, F.lit("uniform_speech_spans").alias("source"))
-    return across.unionByName(even.join(met.select(*keys).distinct(), keys, "left_anti"))
+    held = speech.groupBy(*keys).agg(F.collect_list(F.struct("r_start", "r_end")).alias("speech"))
+    inside = F.filter("speech", lambda s: (s["r_end"] > F.col("start")) & (s["r_start"] < F.col("end")))
+    inside = F.transform(inside, lambda s: F.struct(F.greatest("start", s["r_start"]).alias("start"), F.least("end", s["r_end"]).alias("end")))
+    inside = F.sort_array(F.filter(inside, lambda s: s["end"] > s["start"]))
+    # a segment stays one row until nothing is moved or sorted any more
+    rows = segments.select(*keys, "text", "start", "end").join(held, keys, "left")
+    rows = rows.select(*keys, "start", "end", T.words(F.col("text")).alias("tokens"), F.coalesce(inside, F.expr("array()")).alias("met"))
+    rows = _shared(rows.withColumn("n", F.size("tokens")), "met", "n", "shared")
+    whole = F.struct(F.col("start").alias("start"), F.greatest(F.lit(0.0), F.col("end") - F.col("start")).alias("length"), F.col("n").cast("long").alias("share"))
+    some = F.size("met") > 0
+    rows = rows.select(*keys, "tokens", F.when(some, F.col("shared")).otherwise(F.array(whole)).alias("over"), F.when(some, "uniform_speech_spans").otherwise("uniform").alias("source"))
+    times = F.flatten(F.transform("over", lambda s: F.transform(F.array_repeat(s, s["share"].cast("int")), lambda x, k: F.struct(
+        (x["start"] + k * (x["length"] / x["share"])).alias("start"), (x["start"] + (k + 1) * (x["length"] / x["share"])).alias("end")))))
+    # outer, for Spark would work out the arrays twice to leave out the empty ones
+    rows = rows.select(*keys, "source", F.posexplode_outer(F.arrays_zip("tokens", times.alias("times"))).alias("word_index", "word")).filter(F.col("word").isNotNull())
+    return rows.select(*keys, F.col("word_index").cast("long").alias("word_index"), "word.times.start", "word.times.end", F.col("word.tokens").alias("word"), "source")
 
 
 def span_times(spans: DataFrame, keys: list[str], order: str, stride_ms: float) -> DataFrame:
